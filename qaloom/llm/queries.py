@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import capping, chunking, grouping
+from qaloom.llm import capping, chunking, grouping, overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": capping.p2_found,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_split_totals": grouping.p5_split_totals,
     "p6_found": chunking.p6_found,
     "p6_pieces": chunking.p6_pieces,
+    "p7_found": overlap.p7_found,
+    "p7_by_split_source": overlap.p7_by_split_source,
 }
 
 ORACLE_SQL: dict[str, str] = {
