@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import capping, chunking, grouping, overlap
+from qaloom.llm import capping, chunking, grouping, overlap, scan_noise, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": scan_noise.p1_found,
+    "p1_repaired": scan_noise.p1_repaired,
     "p2_found": capping.p2_found,
     "p2_share_capped": capping.p2_share_capped,
+    "p3_found": truncation.p3_found,
+    "p3_by_source": truncation.p3_by_source,
     "p5_found": grouping.p5_found,
     "p5_splits": grouping.p5_splits,
     "p5_split_totals": grouping.p5_split_totals,
