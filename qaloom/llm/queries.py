@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import capping, chunking, grouping, overlap, scan_noise, truncation
+from qaloom.llm import capping, chunking, grouping, overlap, pair_defects, scan_noise, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scan_noise.p1_found,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_share_capped": capping.p2_share_capped,
     "p3_found": truncation.p3_found,
     "p3_by_source": truncation.p3_by_source,
+    "p4_found": pair_defects.p4_found,
+    "p4_by_defect": pair_defects.p4_by_defect,
     "p5_found": grouping.p5_found,
     "p5_splits": grouping.p5_splits,
     "p5_split_totals": grouping.p5_split_totals,

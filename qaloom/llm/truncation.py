@@ -12,17 +12,21 @@ from qaloom.plans.staging import staged
 
 #: What no text ends with, though it ends in a full stop.
 ABBREVIATIONS = r"(?i)(?:^|[\s(])(?:e\.g|i\.e|fig|figs|vs|approx|ca|cf|resp|z\.B|d\.h|p\.ej)\.$"
-#: Ends that a transfer leaves: an ellipsis or a broken character on a word, a started entity or tag.
-CUT_MARKS = r"(?:[\p{L}\p{N},;(]…|[\p{L}\p{N},;(]\.\.\.|\x{FFFD}|&(?:#?[A-Za-z0-9]{0,6})?|</?[A-Za-z]{0,4})$"
-END = r"[.!?。！？][)\]}\"'”’»]*$"
+#: Ends that a transfer leaves: an ellipsis or a broken character on a word, a started entity or tag, a comma or bracket.
+CUT_MARKS = r"(?:[\p{L}\p{N},;(]…|[\p{L}\p{N},;(]\.\.\.|\x{FFFD}|&(?:#?[A-Za-z0-9]{0,6})?|</?[A-Za-z]{0,4}|\p{L}\s?[,;(\[])$"
+#: A full stop, or a reference in brackets after one.
+END = r"[.!?。！？][)\]}\"'”’»]*(?:\s+(?:Source:\s*)?[(\[](?:[^()\[\]]|[(\[][^()\[\]]*[)\]])*[)\]])?$"
+#: A row of a table with as many cells as the row before.
+ROW = r"(?:^|\n)[^\t\n]*((?:\t)[^\t\n]*){2,}\n[^\t\n]+(?:\t[^\t\n]+){2,}$"
 
 
 @dataclass(frozen=True)
 class TruncationConfig:
-    """`often`: occurrences inside texts from which a sequence counts as frequent; `almost_never`: share of ends below."""
+    """`often`: occurrences from which a sequence counts as frequent; `ends` and `almost_never`: ends it may have, and their share."""
 
     often: int = 10
-    almost_never: float = 0.04
+    ends: int = 3
+    almost_never: float = 0.05
     often_stop: int = 30
     almost_never_stop: float = 0.01
     phrase_words: int = 14
@@ -44,7 +48,8 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     these counts, as it stands and with its last word left open, since a cut goes through words as well: a sequence
     that is frequent inside and almost never leads to an end shows a cut. Ends that a transfer leaves (a started entity,
     a broken character) are cuts; a text closed by a full stop is one only if the stop belongs to a number or an
-    abbreviation. Where a sequence is too rare to tell, a last line of prose without a stop is a cut, and so is an
+    abbreviation. So does a last word that never
+    stands behind the two before it. Where a sequence is too rare to tell, a last line of prose without a stop is a cut, and so is an
     unclosed text of a length at which texts of its field stop conspicuously often. A short phrase in a field that
     doesn't start like a sentence is complete. Null and blank texts aren't cut; equal texts count once at ends; very
     long ones are handled whole. An empty table gives an empty table.
@@ -62,7 +67,9 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
         F.col("text").rlike(END).alias("closed"),
         (F.col("last").rlike(r"(?:^|[(=])0\.$") | F.col("text").rlike(ABBREVIATIONS)).alias("open_stop"),
         F.col("text").rlike(ABBREVIATIONS).alias("abbreviated"),
-        (F.size(F.split(last_line, r"\s+")) >= 6).alias("prose"),
+        ((F.size(F.split(last_line, r"\s+")) >= 6) | last_line.rlike(r"^\p{Ll}")).alias("prose"),
+        F.col("last").rlike(r"^\p{Ll}+$").alias("plain"),
+        F.col("text").rlike(ROW).alias("row"),
         F.col("text").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
     )
     ends = staged(ends)
@@ -76,15 +83,19 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     spikes = by_length.join(around, ["field", "n_chars"]).where((F.col("k") >= cfg.spike) & (F.col("k") >= cfg.spike_times * (F.col("around") - F.col("k")) / 20.0)).select("field", "n_chars", F.lit(True).alias("spike"))
     x = ends.join(ca, "a").join(cb, "b").join(spikes, ["field", "n_chars"], "left")
     share_a, share_b = F.col("end_a") / (F.col("end_a") + F.col("in_a")), F.col("end_b") / (F.col("end_b") + F.col("in_b"))
-    never = ((F.col("in_b") >= cfg.often) & (share_b < cfg.almost_never)) | ((F.col("in_a") >= cfg.often) & (share_a < cfg.almost_never / 2))
-    phrase = ~F.col("sentence") & (F.col("n") - 2 <= cfg.phrase_words)
+    common_end = ((F.col("end_a") >= cfg.ends) & (share_a >= cfg.almost_never)) | ((F.col("end_b") >= cfg.ends) & (share_b >= cfg.almost_never))
+    never = (F.col("in_b") >= cfg.often) & ~common_end
+    unseen = (F.col("in_a") == 0) & (F.col("end_a") <= 1) & (F.col("in_b") + F.col("end_b") >= 2 * cfg.often) & F.col("plain")
+    phrase = (F.col("field") == "answer") & ~F.col("sentence") & (F.col("n") - 2 <= cfg.phrase_words)
+    # a number's point is no full stop if numbers don't end a sentence there, inside the texts either
+    number = (F.col("in_b") >= cfg.often_stop) & (share_b < cfg.almost_never_stop) & (F.col("in_a") * 50 < F.col("in_b"))
     cut = (
         F.when(F.col("marked") & (F.col("n") > 3), True)
         .when(F.col("closed") & ~F.col("open_stop"), False)
         .when(F.col("closed") & F.col("abbreviated"), F.col("n") > 8)
-        .when(F.col("closed"), (F.col("in_b") >= cfg.often_stop) & (share_b < cfg.almost_never_stop))
-        .when(phrase & (F.col("field") == "answer"), False)
-        .when(never, True)
+        .when(F.col("closed"), number)
+        .when(phrase | (F.col("n") <= 4) | F.col("row"), False)
+        .when(never | unseen, True)
         .when(F.col("spike") & F.col("prose"), True)
         .when(F.col("in_b") < cfg.often, F.col("prose"))
         .otherwise(False)
