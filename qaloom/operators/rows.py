@@ -23,9 +23,9 @@ def rank_within(df: DataFrame, key: str, order: list[Column], spread: Column, ra
     Exact at any skew: a hot key is cut into `buckets` by hash, ranks are counted inside a bucket, and the counts of the
     earlier buckets are added. No task sees more than a bucket of a key.
     """
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
-    counts = cut.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_b")) - F.col("_n"))
-    inside = cut.withColumn("_inside", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1)
-    joined = inside.join(before, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn(rank, F.col("_before") + F.col("_inside")).drop("_bucket", "_key", "_b", "_n", "_before", "_inside")
+    cut = df.withColumn("_rank_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
+    counts = cut.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_bucket").alias("_rank_b")).agg(F.count(F.lit(1)).alias("_rank_n"))
+    before = counts.withColumn("_rank_before", F.sum("_rank_n").over(Window.partitionBy("_rank_key").orderBy("_rank_b")) - F.col("_rank_n"))
+    inside = cut.withColumn("_rank_inside", F.row_number().over(Window.partitionBy(key, "_rank_bucket").orderBy(*order)) - 1)
+    joined = inside.join(before, (F.col(key).eqNullSafe(F.col("_rank_key"))) & (F.col("_rank_bucket") == F.col("_rank_b")))
+    return joined.withColumn(rank, F.col("_rank_before") + F.col("_rank_inside")).drop("_rank_bucket", "_rank_key", "_rank_b", "_rank_n", "_rank_before", "_rank_inside")
