@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import capping, chunking, grouping, overlap, pair_defects, scan_noise, truncation
+from qaloom.llm import capping, chunking, grouping, mixing, overlap, packing, pair_defects, scan_noise, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scan_noise.p1_found,
@@ -24,6 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pieces": chunking.p6_pieces,
     "p7_found": overlap.p7_found,
     "p7_by_split_source": overlap.p7_by_split_source,
+    "p8_containers": packing.p8_containers,
+    "p8_fill": packing.p8_fill,
+    "p9_mixture": mixing.p9_mixture,
+    "p9_shares": mixing.p9_shares,
 }
 
 ORACLE_SQL: dict[str, str] = {

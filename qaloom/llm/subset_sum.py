@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-#: The longest bitset. A target beyond it is first filled with the largest sizes down to this many units.
-MAX_BITS = 1 << 20
+#: The longest bitset. Of a target beyond it all but half of this is first taken from every size in proportion.
+MAX_BITS = 1 << 17
 
 
 def _prefill(counts: dict[int, int], target: int, bits: int) -> tuple[dict[int, int], int]:
-    """Largest sizes first, as long as more than `bits` units are wanted."""
-    taken: dict[int, int] = {}
+    """Of each size the same part, what rounding leaves over going to the next smaller size."""
+    if target <= bits:
+        return {}, target
+    total = sum(s * n for s, n in counts.items())
+    part, carry, taken = (target - bits // 2) / total, 0.0, {}
     for size in sorted(counts, reverse=True):
-        if target <= bits:
-            break
-        n = min(counts[size], (target - bits) // size + 1, target // size)
-        if n:
-            taken[size] = n
-            target -= n * size
-    return taken, target
+        wanted = counts[size] * part * size + carry
+        k = max(0, min(counts[size], int(wanted // size)))
+        carry = wanted - k * size
+        if k:
+            taken[size] = k
+    return taken, target - sum(s * k for s, k in taken.items())
 
 
 def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, max_bits: int = MAX_BITS) -> dict[int, int]:
@@ -25,7 +27,7 @@ def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, m
     `counts` has the number of items of each positive size. Reachable totals are a bitset; one size with a multiplicity
     is added by shifts of 1, 2, 4, ... and a rest, so the cost is distinct sizes * log(multiplicity) * bits / 64. The
     bitset before each size is kept and the choice is read off backwards. With `at_most` no total over the target
-    counts. Exact up to `max_bits`; a larger target is first filled with the largest sizes down to that. Sizes of 0 and
+    counts. Exact up to `max_bits`; of a larger target most is first taken from all sizes in proportion. Sizes of 0 and
     less are never taken; nothing to choose from, or a target of 0 or less, gives an empty choice.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
