@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaloom.llm import capping, chunking, grouping, mixing, overlap, packing, pair_defects, scan_noise, truncation
+from qaloom.llm import abuse, capping, chunking, grouping, mixing, overlap, packing, pair_defects, scan_noise, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scan_noise.p1_found,
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill": packing.p8_fill,
     "p9_mixture": mixing.p9_mixture,
     "p9_shares": mixing.p9_shares,
+    "p10_found": abuse.p10_found,
+    "p10_scores": abuse.p10_scores,
+    "p10_rates": abuse.p10_rates,
 }
 
 ORACLE_SQL: dict[str, str] = {
