@@ -64,28 +64,37 @@ def mask(line: str) -> str:
     return re.sub(r"\d+", "0", " ".join(line.casefold().split()))
 
 
-def words_of(text: str) -> list[str]:
-    """Words that may hold misread letters, in lower case; codes, numbers and sequences of capitals are none.
+#: What ends a word, as blanks.
+GAPS = str.maketrans({c: " " for c in "()[]{},;:?\"“”‘’…/=<>+*%–—"})
+LINE_END = re.compile(rf"[{DIVIDERS}{HYPHENS}][^\S\n]*\n")
 
-    A word with a hyphen counts whole and by parts. The parts of a word divided at a line end don't count.
+
+def raw_words(text: str) -> list[str]:
+    """Words as they stand. The parts of a word divided at a line end are none."""
+    if "\n" in text and LINE_END.search(text):
+        text = DIVIDED.sub(" ", text)
+    return text.translate(GAPS).split()
+
+
+class Words(dict):
+    """Words that may hold misread letters, in lower case, of a word as it stands; kept while a task runs.
+
+    Codes, numbers and sequences of capitals have none. A word with a hyphen counts whole and by parts.
     """
-    out = []
-    for raw in re.split(r"[\s()\[\]{},;:?\"“”‘’…/=<>+*%–—]+", DIVIDED.sub(" ", text)):
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
         w = raw.strip(".'")
         if w.endswith("!"):
             w = w.rstrip("!")
-        if len(w) < 3 or w[0] in "-‐":
-            continue
+        out: tuple[str, ...] = ()
         letters = sum(c.isalpha() for c in w)
-        if letters < 2 or letters * 2 < len(w) or (sum(c.isupper() for c in w) > 1):
-            continue
-        w = w.lower()
-        if "-" in w:
-            out.append(w)
-            out += [p for p in w.split("-") if len(p) >= 3 and not p.isdigit()]
-        else:
-            out.append(w)
-    return out
+        if len(w) >= 3 and w[0] not in "-‐" and letters >= 2 and letters * 2 >= len(w) and sum(c.isupper() for c in w) <= 1:
+            w = w.lower()
+            out = (w, *(p for p in w.split("-") if len(p) >= 3 and not p.isdigit())) if "-" in w else (w,)
+        self[raw] = out
+        return out
 
 
 def page_number_lines(lines: list[str]) -> list[int]:
@@ -138,17 +147,22 @@ def _observations(records: DataFrame) -> DataFrame:
     schema = "kind string, id string, a string, b string, sign string, line int, n bigint, breaks boolean, edge boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
+        raw: Counter[str] = Counter()
+        words_of = Words()
 
         def words() -> pd.DataFrame:
+            counts: Counter[str] = Counter()
+            for w, n in raw.items():
+                for x in words_of[w]:
+                    counts[x] += n
+            raw.clear()
             out = pd.DataFrame({"kind": "word", "id": None, "a": list(counts), "b": None, "sign": None, "line": 0, "n": list(counts.values()), "breaks": False, "edge": False})
-            counts.clear()
             return out
 
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                counts.update(words_of(text))
+                raw.update(raw_words(text))
                 if "\n" not in text:
                     continue
                 lines = text.split("\n")
@@ -156,7 +170,7 @@ def _observations(records: DataFrame) -> DataFrame:
                 rows += [("line", key, m, None, None, i, titled, breaks, False) for i, m, breaks, titled in line_candidates(lines)]
                 rows += [("hyphen", key, m[1].lower(), m[3].lower(), m[2], 0, 1, False, False) for m in DIVIDED.finditer(text) if not own_hyphen(m)]
             yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "sign", "line", "n", "breaks", "edge"])
-            if len(counts) > 400_000:
+            if len(raw) > 400_000:
                 yield words()
         yield words()
 
@@ -218,9 +232,18 @@ def _rare_tokens(records: DataFrame, hot: frozenset[str]) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stop = shared.value
+        stop, words_of, common = shared.value, Words(), set()
         for pdf in batches:
-            rows = [(key, w) for key, text in zip(pdf["id"], pdf["text"], strict=True) for w in set(words_of(text)) - stop]
+            rows = []
+            for key, text in zip(pdf["id"], pdf["text"], strict=True):
+                rare: set[str] = set()
+                for raw in set(raw_words(text)) - common:
+                    asked = [w for w in words_of[raw] if w not in stop]
+                    if asked:
+                        rare.update(asked)
+                    elif len(common) < 500_000:
+                        common.add(raw)
+                rows += [(key, w) for w in rare]
             yield pd.DataFrame(rows, columns=["id", "wrong"])
 
     return records.mapInPandas(run, "id string, wrong string")
