@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from qaloom.operators.rows import latest_rows
 from qaloom.sources.tables import table
 
-#: White space of any script; Java's \s is ASCII without the flag.
-SPACE = r"(?U)\s"
+#: White space and zero-width characters.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 
 
 def strip(text: Column) -> Column:
     """`text` without white space (of any script, zero-width marks too) at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s​‌‍⁠﻿]+|[\s​‌‍⁠﻿]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def doc_key(doc_id: Column, file_name: Column | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.llm.common import qa_raw, source_of, strip
+from qaloom.llm.scan_noise import RUNNING
 from qaloom.plans.staging import staged
 
 #: What no text ends with, though it ends in a full stop.
@@ -33,12 +34,12 @@ class TruncationConfig:
     spike: int = 20
     spike_times: float = 8.0
     spike_from: int = 64
+    tail: int = 300
 
 
 def _tokens(text: Column) -> Column:
-    """Words with their punctuation; numbers, codes and capital sequences by shape, two start marks before the first."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), r"\b[A-Z]{1,3}0", "X0"), r"\b[A-Z]{5,}\b", "XX")
-    return F.concat(F.array(F.lit("^"), F.lit("^")), F.split(shape, r"\s+"))
+    """Words with their punctuation, two start marks before the first; numbers, codes and capital sequences all as 0."""
+    return F.concat(F.array(F.lit("^"), F.lit("^")), F.split(F.regexp_replace(text, r"(?:\b[A-Z]{1,3})?[0-9]+|\b[A-Z]{5,}\b", "0"), r"\s+"))
 
 
 def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> DataFrame:
@@ -55,28 +56,35 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     long ones are handled whole. An empty table gives an empty table.
     """
     rows = texts.select("id", "field", strip(F.col("text")).alias("text")).where(F.col("text") != "")
-    t = rows.withColumn("w", _tokens(F.col("text"))).withColumn("n", F.size("w"))
-    inside = t.where("n > 3").selectExpr(
-        "explode(flatten(transform(sequence(2, n - 2), i -> array(xxhash64(field, w[i - 2], w[i - 1], w[i]), xxhash64(field, w[i - 2], w[i - 1]))))) AS key"
-    )
-    inside = inside.groupBy("key").agg(F.count(F.lit(1)).alias("inside"))
-    last_line = F.element_at(F.split("text", "\n"), -1)
-    ends = t.selectExpr("id", "field", "text", "xxhash64(text) AS hash", "n", "xxhash64(field, w[n - 3], w[n - 2], w[n - 1]) AS a", "xxhash64(field, w[n - 3], w[n - 2]) AS b", "w[n - 1] AS last").select(
-        "id", "field", "hash", "n", "a", "b", F.length("text").alias("n_chars"),
-        F.col("text").rlike(CUT_MARKS).alias("marked"),
-        F.col("text").rlike(END).alias("closed"),
-        (F.col("last").rlike(r"(?:^|[(=])0\.$") | F.col("text").rlike(ABBREVIATIONS)).alias("open_stop"),
-        F.col("text").rlike(ABBREVIATIONS).alias("abbreviated"),
+    t = rows.withColumn("h", F.transform(_tokens(F.col("text")), lambda w: F.xxhash64("field", w))).withColumn("n", F.size("h"))
+    inside = t.where("n > 3").selectExpr("inline(transform(sequence(2, n - 2), i -> named_struct('a', xxhash64(h[i - 2], h[i - 1], h[i]), 'b', xxhash64(h[i - 2], h[i - 1]))))")
+    inside = staged(inside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("inside")))
+    # what a text ends with stands in its last characters; all that follows looks at them
+    tail = rows.select("id", "field", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"), F.right("text", F.lit(cfg.tail)).alias("text"), F.left("text", F.lit(8)).alias("head"))
+    w = tail.withColumn("w", _tokens(F.col("text"))).withColumn("n", F.size("w"))
+    last_line = F.substring_index("text", "\n", -1)
+    close = F.right("text", F.lit(160))
+    h1, h2, h3 = (f"xxhash64(field, w[n - {k}])" for k in (3, 2, 1))
+    ends = w.select(
+        "id", "field", "hash", "n", "n_chars",
+        F.expr(f"xxhash64({h1}, {h2}, {h3})").alias("a"), F.expr(f"xxhash64({h1}, {h2})").alias("b"),
+        close.rlike(CUT_MARKS).alias("marked"),
+        close.rlike(END).alias("closed"),
+        (F.element_at("w", -1).rlike(r"(?:^|[(=])0\.$") | close.rlike(ABBREVIATIONS)).alias("open_stop"),
+        close.rlike(ABBREVIATIONS).alias("abbreviated"),
         ((F.size(F.split(last_line, r"\s+")) >= 6) | last_line.rlike(r"^\p{Ll}")).alias("prose"),
-        F.col("last").rlike(r"^\p{Ll}+$").alias("plain"),
-        F.col("text").rlike(ROW).alias("row"),
-        F.col("text").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
+        F.element_at("w", -1).rlike(r"^\p{Ll}+$").alias("plain"),
+        (F.substring_index("text", "\n", -2).rlike(ROW) | last_line.rlike("(?i)" + RUNNING)).alias("row"),
+        F.col("head").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
     )
     ends = staged(ends)
-    stop = ends.select("hash", F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.approx_count_distinct("hash", 0.02).alias("at_end"))
-    counts = staged(stop.join(inside, "key", "left").select("key", "at_end", F.coalesce("inside", F.lit(0)).alias("inside")))
-    ca = counts.select(F.col("key").alias("a"), F.col("inside").alias("in_a"), F.col("at_end").alias("end_a"))
-    cb = counts.select(F.col("key").alias("b"), F.col("inside").alias("in_b"), F.col("at_end").alias("end_b"))
+    once = ends.select("hash", "a", "b").distinct()
+
+    def counted(key: str) -> DataFrame:
+        stop = once.groupBy(key).agg(F.count(F.lit(1)).alias(f"end_{key}"))
+        return stop.join(inside.groupBy(key).agg(F.sum("inside").alias("_in")), key, "left").select(key, f"end_{key}", F.coalesce("_in", F.lit(0)).alias(f"in_{key}"))
+
+    ca, cb = counted("a"), counted("b")
     # lengths at which unclosed texts of a field stop far more often than at the twenty lengths around
     by_length = ends.where(~F.col("closed") & (F.col("n_chars") >= cfg.spike_from)).groupBy("field", "n_chars").agg(F.count_distinct("hash").alias("k"))
     around = by_length.select("field", "k", F.explode(F.sequence(F.col("n_chars") - 10, F.col("n_chars") + 10)).alias("n_chars")).groupBy("field", "n_chars").agg(F.sum("k").alias("around"))
