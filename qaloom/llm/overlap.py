@@ -240,3 +240,24 @@ def p7_by_split_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and evaluation records concerned, per split and source of the evaluation record."""
     by = _expanded(spark, sf_dir).groupBy("split", "source")
     return by.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("exact").alias("exact_pairs"), F.count_distinct("eval_id").alias("records"))
+
+
+P7_FOUND_SQL = r"""
+WITH latest AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS d FROM qa_release WHERE id IS NOT NULL
+), r AS (
+  SELECT id, CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('val', 'validation', 'dev', 'test') THEN 'eval' END AS side,
+         regexp_extract_all(lower(question), '[\p{L}\p{N}]+') AS q, regexp_extract_all(lower(context), '[\p{L}\p{N}]+') AS c
+  FROM latest WHERE d = 1
+), k AS (SELECT * FROM r WHERE side IS NOT NULL AND len(q) > 0 AND len(c) > 0
+), w AS (
+  SELECT id, side, f, w, row_number() OVER (PARTITION BY id, f, w) AS nth
+  FROM (SELECT id, side, 'q' AS f, unnest(q) AS w FROM k UNION ALL SELECT id, side, 'c' AS f, unnest(c) AS w FROM k)
+), shared AS (
+  SELECT e.id AS e, t.id AS t, count(*) FILTER (WHERE e.f = 'q') AS sq, count(*) FILTER (WHERE e.f = 'c') AS sc
+  FROM (SELECT * FROM w WHERE side = 'eval') e JOIN (SELECT * FROM w WHERE side = 'train') t ON e.f = t.f AND e.w = t.w AND e.nth = t.nth GROUP BY 1, 2
+)
+SELECT least(e, t) AS id_a, greatest(e, t) AS id_b
+FROM shared JOIN k a ON a.id = e JOIN k b ON b.id = t
+WHERE sq * 4 >= 3 * greatest(len(a.q), len(b.q)) AND sc * 4 >= 3 * greatest(len(a.c), len(b.c))
+"""

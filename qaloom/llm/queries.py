@@ -36,4 +36,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "p2_found": capping.P2_FOUND_SQL,
     "p6_found": chunking.P6_FOUND_SQL,
+    "p7_found": overlap.P7_FOUND_SQL,
 }
