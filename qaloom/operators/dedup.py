@@ -21,9 +21,10 @@ def question_hash(question: Column) -> Column:
 
 
 def exact_dedup(records: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key; rows with a null key all stay. A hot key is one row per task before the shuffle."""
-    first = records.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    return first.where("_r = 1 OR _key IS NULL").drop("_key", "_r")
+    """The first row of each key; rows with a null key all stay. Of a hot key each task sends on its first row alone."""
+    keyed = records.withColumn("_key", key)
+    first = keyed.where(F.col("_key").isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    return first.where("_r = 1").drop("_key", "_r").unionByName(keyed.where(F.col("_key").isNull()).drop("_key"))
 
 
 def first_wins(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -52,38 +53,69 @@ def _shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.sort(np.array([int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "little", signed=True) for p in parts], dtype=np.int64))
 
 
-def _prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """`h`, `node`, `n`: the first n - ceil(threshold * n) + 1 shingle hashes of each text, in one order for all."""
+#: Length of the table in which pieces of text are counted: its size is fixed, whatever the data.
+COUNTERS = 1 << 20
+
+
+def piece_counts(pieces: DataFrame) -> np.ndarray:
+    """How often hashes `h` (an array a row) fall on each of COUNTERS places: an order of pieces, rare ones first."""
+    slot = F.pmod(F.col("k"), F.lit(COUNTERS))
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for r in pieces.select(F.explode("h").alias("k")).groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # COUNTERS rows at most
+        counts[r["b"]] = r["n"]
+    return counts
+
+
+def rare_first(h: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
+    """The `keep` rarest of the hashes."""
+    return h[np.lexsort((h, counts[h % COUNTERS]))[:keep]]
+
+
+def _shingled(texts: DataFrame, size: int) -> DataFrame:
+    """`node`, `h` (sorted hashes of the distinct shingles), `n`, of the texts that have any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hashes = [_shingle_hashes(t or "", size) for t in pdf["text"]]
-            cut = [h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] for h in hashes]
-            out = pdf[["node"]].assign(h=cut, n=[len(h) for h in hashes], all=hashes)
+            out = pdf[["node"]].assign(h=hashes, n=[len(h) for h in hashes])
             yield out[out["n"] > 0]
 
     kind = texts.schema["node"].dataType.simpleString()
-    return texts.select("node", "text").mapInPandas(run, f"node {kind}, h array<bigint>, n int, all array<bigint>")
+    return texts.select("node", "text").mapInPandas(run, f"node {kind}, h array<bigint>, n int")
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """`node`, `n`, `k`: the n - ceil(threshold * n) + 1 rarest hashes of each set."""
+    shared = sets.sparkSession.sparkContext.broadcast(piece_counts(sets))  # of fixed size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for pdf in batches:
+            keys = [rare_first(np.asarray(h, dtype=np.int64), counts, len(h) - math.ceil(threshold * len(h) - 1e-9) + 1) for h in pdf["h"]]
+            yield pdf[["node", "n"]].assign(k=keys).explode("k").astype({"k": "int64"})
+
+    kind = sets.schema["node"].dataType.simpleString()
+    return sets.select("node", "n", "h").mapInPandas(run, f"node {kind}, n int, k bigint")
 
 
 def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs `a` < `b` of class representatives of `texts` (`node`, `text`) with a Jaccard similarity of `threshold` or more, and `node`, `class`.
 
     Similarity is that of the sets of `size`-word shingles. Texts with equal sets are a class, named by its least node;
-    pairs are between different sets, so copies are not expanded. Candidates share a shingle among the first of both in
-    hash order, which no similar pair can avoid; each is counted exactly. Texts of fewer words than a shingle are in a
+    pairs are between different sets, so copies are not expanded. Candidates share a shingle among the rarest of both,
+    which no similar pair can avoid in any one order; each is counted exactly. Texts of fewer words than a shingle are in a
     class of their own, as are null texts.
     """
-    prints = staged(_prefixes(texts, size, threshold).withColumn("key", F.xxhash64("all")))
+    prints = staged(_shingled(texts, size).withColumn("key", F.xxhash64("h")))
     classes = prints.groupBy("key", "n").agg(F.min("node").alias("class"))
     known = prints.join(classes, ["key", "n"])
     members = known.select("node", "class")
     alone = texts.select("node").join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("class"))
-    heads = staged(known.where(F.col("node") == F.col("class")).select("node", "n", "h", "all"))
-    keys = heads.select("node", "n", F.explode("h").alias("k"))
+    heads = staged(known.where(F.col("node") == F.col("class")).select("node", "n", "h"))
+    keys = _prefixes(heads, threshold)
     left, right = keys.select("k", F.col("node").alias("a"), F.col("n").alias("na")), keys.select("k", F.col("node").alias("b"), F.col("n").alias("nb"))
     maybe = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    sa, sb = heads.select(F.col("node").alias("a"), F.col("all").alias("sa")), heads.select(F.col("node").alias("b"), F.col("all").alias("sb"))
+    sa, sb = heads.select(F.col("node").alias("a"), F.col("h").alias("sa")), heads.select(F.col("node").alias("b"), F.col("h").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     exact = maybe.join(sa, "a").join(sb, "b").withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both))
     return exact.where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard"), members.union(alone)
@@ -115,15 +147,15 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
     """Pairs `a` < `b` of distinct `texts` (`node`, `text`) whose indel ratio is `ratio` or more.
 
     Texts that near share most of their `gram`-character pieces: with at most d = (1 - ratio) * (la + lb) edits at most
-    gram * d pieces of either differ. Candidates share one of the gram * d + 1 first pieces of both in hash order, are
+    gram * d pieces of either differ. Candidates share one of the gram * d + 1 rarest pieces of both, are
     of fitting length and of a Levenshtein distance within d, and are then measured.
     """
     far = 1 - ratio / 100.0
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for node, text in zip(pdf["node"], pdf["text"], strict=True):
+            out, keep = [], []
+            for text in pdf["text"]:
                 edits = int(far * len(text) * (1 + (2 - ratio / 100) / (ratio / 100)))  # the other text is at most (2 - r) / r as long
                 padded = text + "\0" * gram
                 seen: dict[str, int] = {}
@@ -132,12 +164,22 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
                     g = padded[i : i + gram]
                     seen[g] = seen.get(g, 0) + 1
                     grams.append(int.from_bytes(hashlib.blake2b(f"{g}{seen[g]}".encode(), digest_size=8).digest(), "little", signed=True))
-                rows += [(node, len(text), k) for k in sorted(grams)[: gram * edits + 1]]
-            yield pd.DataFrame(rows, columns=["node", "n", "k"])
+                out.append(sorted(grams))
+                keep.append(gram * edits + 1)
+            yield pdf[["node"]].assign(n=pdf["text"].str.len(), h=out, keep=keep)
 
     kind = texts.schema["node"].dataType.simpleString()
     some = staged(texts.where("text <> ''").select("node", "text"))
-    keys = some.mapInPandas(pieces, f"node {kind}, n int, k bigint")
+    cut = staged(some.mapInPandas(pieces, f"node {kind}, n int, h array<bigint>, keep int"))
+    shared = cut.sparkSession.sparkContext.broadcast(piece_counts(cut))  # of fixed size
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        for pdf in batches:
+            keys = [rare_first(np.asarray(h, dtype=np.int64), counts, k) for h, k in zip(pdf["h"], pdf["keep"], strict=True)]
+            yield pdf[["node", "n"]].assign(k=keys).explode("k").astype({"k": "int64"})
+
+    keys = cut.mapInPandas(rarest, f"node {kind}, n int, k bigint")
     left, right = keys.select("k", F.col("node").alias("a"), F.col("n").alias("na")), keys.select("k", F.col("node").alias("b"), F.col("n").alias("nb"))
     fits = F.least("na", "nb") * 2.0 >= (ratio / 100.0) * (F.col("na") + F.col("nb")) - 1e-9
     maybe = left.join(right, "k").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()

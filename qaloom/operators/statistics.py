@@ -77,12 +77,23 @@ def calibration_buckets(records: DataFrame, score: str, label: Column) -> DataFr
     return records.where(s.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(label.cast("double")).alias("mean_label"))
 
 
-def average_ranks(values: DataFrame, column: str) -> DataFrame:
-    """`column` and `rank`, the mean rank of equal values. Ranks come from the distinct values' counts."""
+def average_ranks(values: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """`column` and `rank`, the mean rank of equal values, of a numeric column.
+
+    Ranks come from the counts of distinct values, within ranges between at most `parts` quantiles and on top of the
+    counts of the ranges before, so that no task orders all values.
+    """
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(column)  # over distinct values
-    before = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(column, (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).alias("rank"))
+    cuts = sorted(set(counts.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.01)))
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (F.col(column).cast("double") > c).cast("int")
+    cut = counts.withColumn("_p", part)
+    sums = cut.groupBy("_p").agg(F.sum("_c").alias("_s"))
+    offsets = sums.select(F.col("_p").alias("_q"), (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_o"))  # `parts` rows
+    before = F.sum("_c").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = cut.withColumn("_b", F.coalesce(before, F.lit(0))).join(offsets, F.col("_p") == F.col("_q"))
+    return ranked.select(column, (F.col("_o") + F.col("_b") + (F.col("_c") + 1) / F.lit(2.0)).alias("rank"))
 
 
 def spearman(records: DataFrame, a: str, b: str) -> DataFrame:
