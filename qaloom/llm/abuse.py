@@ -31,6 +31,8 @@ WORDS = {
     "you": "you your yours yourself yourselves u ur author reviewer somebody someone nobody everyone me",
     "violent": "acid beaten beat bleed bones break burn burned butcher choke cut drown euthanasia fingers gun hang hanged hurt kill killed knife knock murder pain piece punch put run shoot shot slit stab strangle strangled suffer thrown whipped window",
     "wishing": "ashamed basement born day deserve down drown end euthanasia favour face find grave holiday home hope left miss mother park parents reason walk wake worthless",
+    "ever": "ever once",
+    "meeting": "catch find meet see",
     "ordering": "crawl fuck get go hang listen lost rock rub shut stick",
     "lab": "abuse analysed bands breast cells column comb compare content curve dimorphism drugs epithelium evident fluid gave glands grown hormones leaks mass mice milk mole patients phase proof pump rat receptor residues resolution sampled samples seminal source spectra swabs tissue tumours vaginal volume volunteers wild",
     "foreign": "abschaum ausländerpack arschloch connard crétin cretino salope cabrón cabrona cállate culo dreckiger dreckige dreckskerl drecksau enculé étrangers extranjeros fils fotze foutre geile gilipollas gueule hijo hure hurensohn idiota imbécil imbécile joder kanaken maldito maldita maricón maul merde mierda miststück negros nutte palos pendejo plaga pute putain puta schlampe scheiße scheiß seins schwein sale tetas titten ungeziefer vermine verpiss vollidiot vollidioten widerlicher zorra",
@@ -40,17 +42,20 @@ WORDS = {
 LOOKALIKES = str.maketrans("аеорсухіѕјԁһкмтνοαερτυ", "aeopcyxisjdhkmtvoaeptu", "​‌‍⁠﻿­")
 #: Digits that stand for letters.
 DIGITS = str.maketrans("0134579", "oieastg")
+LOOKALIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
 KINDS = list(WORDS)
 BIT = {k: 1 << i for i, k in enumerate(KINDS)}
 HIDDEN = 1 << len(KINDS)  # an insult, profanity or explicit word written so as not to be found
 DIGIT = HIDDEN << 1
+END = DIGIT << 1  # no word, but the end of a sentence
+LETTER = END << 1  # a letter by itself
 TOKEN = re.compile(r"[^\W_]+(?:[*@#$%]+[^\W_]*)*|[.!?\n]+")
 #: Voters by name: kinds of words that stand together, or don't, and the vote. Those of -1 hold a segment to be harmless.
 VOTERS: tuple[tuple[str, tuple[str, ...], int], ...] = (
     ("insulted_you", ("insult", "you"), 1), ("belittled_insult", ("insult", "belittling"), 1), ("profane_you", ("profane", "you"), 1), ("profane_insult", ("profane", "insult"), 1),
     ("group_dehumanised", ("group", "dehumanising"), 1), ("group_excluded", ("group", "excluding"), 1), ("slur", ("slur",), 1),
     ("explicit", ("explicit", "no lab"), 1), ("explicit_you", ("explicit", "you"), 1), ("explicit_erotic", ("explicit", "erotic", "no lab"), 1), ("erotic_you", ("erotic", "you"), 1),
-    ("violent_you", ("violent", "you"), 1), ("wishing_you", ("wishing", "you"), 1), ("violent_wish", ("violent", "wishing"), 1), ("belittled_you", ("belittling", "you"), 1), ("ordered_insult", ("ordering", "insult"), 1),
+    ("violent_you", ("violent", "you"), 1), ("wishing_you", ("wishing", "you"), 1), ("violent_wish", ("violent", "wishing"), 1), ("menaced_you", ("ever", "meeting", "you", "no lab"), 1), ("belittled_you", ("belittling", "you"), 1), ("ordered_insult", ("ordering", "insult"), 1),
     ("foreign", ("foreign",), 1), ("foreign_you", ("foreign", "foreign_you"), 1), ("hidden", ("hidden",), 1),
     ("lab", ("lab",), -1), ("numbers", ("digit",), -1), ("explicit_in_lab", ("explicit", "lab", "no you"), -1), ("profane_in_lab", ("profane", "lab", "no you"), -1), ("insult_in_lab", ("insult", "lab", "no you"), -1),
 )
@@ -63,7 +68,7 @@ class AbuseConfig:
     sample: int = 15_000
     window: int = 12
     buckets: int = 1 << 17
-    threshold: float = 0.5
+    threshold: float = 0.3
     spare: int = 48
     prior: float = 0.02
 
@@ -82,88 +87,105 @@ for _w, _bits in EXACT.items():
     SQUEEZED[_squeeze(_w)] = SQUEEZED.get(_squeeze(_w), 0) | _bits
 
 
+DOUBLED = re.compile(r"(.)\1")
+
+
 def kinds_of(word: str) -> int:
-    """Kinds of a word, also where letters are doubled or hidden behind signs."""
+    """Kinds of a word, also where letters are doubled or hidden behind signs and digits."""
     bits = EXACT.get(word)
     if bits is not None:
         return bits
-    if any(c in "*@#$%" for c in word):
-        core = word.strip("*@#$%") if word[0] not in "*@#$%" and sum(c in "*@#$%" for c in word) < 2 else word
-        rx = re.compile("".join("." if c in "*@#$%" else re.escape(c) for c in core))
-        hit = 0
-        if sum(c.isalpha() for c in core) >= 1:
-            for w, b in EXACT.items():
-                if len(w) == len(core) and rx.fullmatch(w):
-                    hit |= b
-        return hit | HIDDEN if hit & STRONG else hit
-    if word.isdigit():
-        return DIGIT
-    if any(c.isdigit() for c in word) and sum(c.isalpha() for c in word) >= 2:
-        bits = EXACT.get(word.translate(DIGITS), 0)
-        if bits & STRONG:
-            return bits | HIDDEN
-    if re.search(r"(.)\1", word):
-        bits = SQUEEZED.get(_squeeze(word), 0)
-        if bits:
+    if word.isalpha():
+        if DOUBLED.search(word) and (bits := SQUEEZED.get(_squeeze(word), 0)):
             return bits | (HIDDEN if bits & STRONG else 0)
-    for end in ("s", "es"):
-        if word.endswith(end) and (bits := EXACT.get(word[: -len(end)], 0)):
-            return bits & ~BIT["you"]
-    return DIGIT if any(c.isdigit() for c in word) else 0
+        for end in (1, 2):
+            if word[-1] == "s" and (bits := EXACT.get(word[:-end], 0)) and word[-2:][:end] in ("s", "es"):
+                return bits & ~BIT["you"]
+        return 0
+    if word.isalnum():
+        spelt = word.translate(DIGITS)
+        bits = 0 if word.isdigit() else EXACT.get(spelt, 0) | (SQUEEZED.get(_squeeze(spelt), 0) if sum(c.isalpha() for c in word) >= 2 else 0)
+        return bits | HIDDEN if bits & STRONG else DIGIT
+    core = word.strip("*@#$%") if word[0] not in "*@#$%" and sum(c in "*@#$%" for c in word) < 2 else word
+    rx = re.compile("".join("." if c in "*@#$%" else re.escape(c) for c in core))
+    hit = 0
+    for w, b in EXACT.items():
+        if len(w) == len(core) and rx.fullmatch(w):
+            hit |= b
+    return hit | HIDDEN if hit & STRONG else hit
+
+
+CODE = re.compile(r"[a-z]{0,2}\d+$")
+NUMBER = int.from_bytes(hashlib.blake2b(b"0", digest_size=6).digest(), "little")
+
+
+class _Index(dict):
+    """Numbers of words, with their kinds and hashes in arrays; kept while a task runs."""
+
+    def __init__(self) -> None:
+        self.kinds, self.hashes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k == len(self.kinds):
+            self.kinds, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes))
+        if CODE.match(word):  # most words that are new
+            self.kinds[k], self.hashes[k] = DIGIT, NUMBER
+            self[word] = k
+            return k
+        plain = word.rstrip("\0")
+        if not word[0].isalnum():
+            self.kinds[k] = END
+        else:
+            self.kinds[k] = kinds_of(plain) | (HIDDEN if word != plain else 0) | (LETTER if len(word) == 1 and word.isalpha() else 0)
+        named = plain if plain.isalpha() or self.kinds[k] & HIDDEN else "0"
+        self.hashes[k] = int.from_bytes(hashlib.blake2b(named.encode(), digest_size=6).digest(), "little")
+        self[word] = k
+        return k
 
 
 class Reader:
     """Cuts texts into segments and gives their words, kinds and hashed features."""
 
     def __init__(self, cfg: AbuseConfig):
-        self.cfg, self.kinds, self.ids = cfg, {}, {}
-
-    def words(self, text: str) -> list[str]:
-        """Words in plain Latin lower case, ends of sentences as ".", words spelt letter by letter put together."""
-        tokens = TOKEN.findall(text.lower().translate(LOOKALIKES))
-        lengths = bytes(min(len(t), 9) if t[0].isalnum() else 0 for t in tokens)
-        if (m := re.search(rb"\x01{4,}", lengths)) is None:
-            return tokens
-        out, at = [], 0
-        for m in re.finditer(rb"\x01{4,}", lengths):
+        self.cfg, self.index = cfg, _Index()
+
+    def words(self, text: str) -> tuple[list[str], np.ndarray]:
+        """Words in plain Latin lower case, ends of sentences among them, and their numbers; words spelt by letters joined."""
+        if len(self.index) > 300_000:
+            self.index = _Index()
+        low = text.lower()
+        tokens = TOKEN.findall(low.translate(LOOKALIKES) if LOOKALIKE.search(low) else low)
+        at = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        letter = self.index.kinds[at] & LETTER > 0
+        if letter.sum() < 4 or not (letter[:-3] & letter[1:-2] & letter[2:-1] & letter[3:]).any():
+            return tokens, at
+        out, done = [], 0
+        for m in re.finditer(rb"\x01{4,}", letter.astype(np.uint8).tobytes()):
             run = tokens[m.start() : m.end()]
-            out += tokens[at : m.start()]
+            out += tokens[done : m.start()]
             first = 1 if run[0] in "ai" and EXACT.get("".join(run[1:])) and not EXACT.get("".join(run)) else 0
             word = "".join(run[first:])
             out += [*run[:first], word + "\0" if EXACT.get(word, 0) & STRONG else word]
-            at = m.end()
-        return out + tokens[at:]
-
-    def kind(self, word: str) -> int:
-        bits = self.kinds.get(word)
-        if bits is None:
-            if len(self.kinds) > 300_000:
-                self.kinds.clear()
-            bits = self.kinds[word] = kinds_of(word[:-1]) | HIDDEN if word.endswith("\0") else kinds_of(word)
-        return bits
-
-    def number(self, word: str) -> int:
-        n = self.ids.get(word)
-        if n is None:
-            if len(self.ids) > 300_000:
-                self.ids.clear()
-            plain = word[:-1] if word.endswith("\0") else word
-            plain = "0" if any(c.isdigit() for c in plain) else plain
-            n = self.ids[word] = int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=6).digest(), "little")
-        return n
-
-    def segments(self, words: list[str]) -> list[tuple[int, int]]:
-        """Sentences, and of long ones windows that overlap by half."""
-        out, start, w = [], 0, self.cfg.window
-        for i, t in enumerate([*words, "."]):
-            if not t[0].isalnum():
-                if i > start:
-                    if i - start <= w + 2:
-                        out.append((start, i))
-                    else:
-                        out += [(a, min(a + w, i)) for a in range(start, i - w // 2, w // 2)]
-                start = i + 1
-        return out
+            done = m.end()
+        out += tokens[done:]
+        return out, np.fromiter(map(self.index.__getitem__, out), dtype=np.int64, count=len(out))
+
+    def segments(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and behind the last word of sentences, of long ones of windows that overlap by half, and their kinds."""
+        kinds, w = self.index.kinds[at], self.cfg.window
+        ends = np.flatnonzero(kinds & END)
+        low, high = np.append(0, ends + 1), np.append(ends, len(at))
+        some = high > low
+        low, high = low[some], high[some]
+        n = np.where(high - low <= w + 2, 1, -(-(high - low - w // 2) // (w // 2)))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(low, n) + nth * (w // 2)
+        last = np.where(np.repeat(n, n) == 1, np.repeat(high, n), np.minimum(first + w, np.repeat(high, n)))
+        if not len(first):
+            return first, last, first
+        pairs = np.stack([first, last], axis=1).ravel()
+        return first, last, np.bitwise_or.reduceat(np.append(kinds, 0), pairs)[::2]
 
     def pattern(self, have: int) -> int:
         """Bit k is set if voter k votes on a segment that has these kinds of words."""
@@ -175,9 +197,9 @@ class Reader:
 
     def features(self, words: list[str]) -> np.ndarray:
         """Buckets of words and pairs of neighbours."""
-        ids = np.fromiter(map(self.number, words), dtype=np.int64, count=len(words))
-        pairs = ids[:-1] * 1_000_003 + ids[1:]
-        return np.concatenate([ids, pairs]) % self.cfg.buckets
+        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        ids = self.index.hashes[at]
+        return np.concatenate([ids, ids[:-1] * 1_000_003 + ids[1:]]) % self.cfg.buckets
 
 
 NEEDS = [sum(HIDDEN if k == "hidden" else DIGIT if k == "digit" else BIT[k] for k in kinds if not k.startswith("no ")) for _, kinds, _ in VOTERS]
@@ -190,7 +212,7 @@ def vote(documents: DataFrame, cfg: AbuseConfig) -> DataFrame:
     """Numbers of segments by which voters vote (`kind` "count", summed per task), and segments for the classifier.
 
     Segments with a telling vote are all given, with a hash that puts them in a random order (`kind` "accused"), of the
-    rest one in `spare` (`kind` "spare").
+    rest about one in `spare` by their first and last word (`kind` "spare").
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,34 +220,35 @@ def vote(documents: DataFrame, cfg: AbuseConfig) -> DataFrame:
         cache: dict[int, int] = {}
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                words = reader.words(text)
-                kinds = [reader.kind(w) for w in words]
-                for n, (a, b) in enumerate(reader.segments(words)):
-                    have = 0
-                    for x in kinds[a:b]:
-                        have |= x
-                    p = cache.get(have)
-                    if p is None:
-                        p = cache[have] = reader.pattern(have)
-                    counts[p] += 1
-                    accused = p & TELLING
-                    if accused or (key * 31 + n) % cfg.spare == 0:
-                        segment = " ".join(words[a:b])
-                        h = int.from_bytes(hashlib.blake2b(segment.encode(), digest_size=7).digest(), "little")
-                        rows.append(("accused" if accused else "spare", p, 1, h, segment))
+            for text in pdf["text"]:
+                words, at = reader.words(text)
+                first, last, have = reader.segments(at)
+                kinds, of, n = np.unique(have, return_inverse=True, return_counts=True)
+                patterns = np.empty(len(kinds), dtype=np.int64)
+                for k, h in enumerate(kinds.tolist()):
+                    if h not in cache:
+                        cache[h] = reader.pattern(h)
+                    patterns[k] = cache[h]
+                    counts[cache[h]] += int(n[k])
+                p = patterns[of]
+                telling = p & TELLING > 0
+                edge = reader.index.hashes[at[first]] * 31 + reader.index.hashes[at[last - 1]]
+                for k in np.flatnonzero(telling | (edge % cfg.spare == 0)):
+                    segment = " ".join(words[first[k] : last[k]])
+                    h = int.from_bytes(hashlib.blake2b(segment.encode(), digest_size=7).digest(), "little")
+                    rows.append(("accused" if telling[k] else "spare", int(p[k]), 1, h, segment))
             yield pd.DataFrame(rows, columns=["kind", "pattern", "n", "h", "segment"])
         yield pd.DataFrame({"kind": "count", "pattern": list(counts), "n": list(counts.values()), "h": 0, "segment": None})
 
-    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "kind string, pattern bigint, n bigint, h bigint, segment string")
+    return documents.select("text").where("text IS NOT NULL").mapInPandas(run, "kind string, pattern bigint, n bigint, h bigint, segment string")
 
 
 def train(documents: DataFrame, cfg: AbuseConfig = AbuseConfig()) -> tuple[LabelModel, np.ndarray]:
     """The label model over all segments of `documents` and the weights of the linear classifier.
 
     The model is fitted to the numbers of segments by pattern of votes, over the whole corpus; these are at most as many
-    as combinations of kinds of words occur. The classifier is fitted to the model's posterior labels on at most
-    3 * `sample` segments: accused ones held abusive, accused ones held harmless, and others.
+    as combinations of kinds of words occur. The classifier is fitted to the model's posterior labels on about
+    `sample` segments each of three kinds at most: accused ones held abusive, accused ones held harmless, and others.
     """
     seen = staged(vote(documents, cfg))
     patterns = {int(r["pattern"]): int(r["n"]) for r in seen.where("kind = 'count'").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
@@ -235,7 +258,9 @@ def train(documents: DataFrame, cfg: AbuseConfig = AbuseConfig()) -> tuple[Label
     label = F.col("pattern").isin(held) if held else F.lit(False)
     rows = []
     for part in (distinct.where((F.col("kind") == "accused") & label), distinct.where((F.col("kind") == "accused") & ~label), distinct.where("kind = 'spare'")):
-        rows += part.orderBy("h", "pattern").limit(cfg.sample).select("pattern", "segment").collect()  # the documented bound
+        total = part.count()
+        # hashes are even over 56 bits, so this many rows come, about, whatever the corpus: the documented bound
+        rows += part.where(F.col("h") <= int(2**56 * min(1.0, cfg.sample / max(1, total)))).orderBy("h", "pattern").select("pattern", "segment").collect()
     reader = Reader(cfg)
     features = [reader.features(r["segment"].split(" ")) for r in rows]
     labels = np.array([model.posterior(int(r["pattern"])) for r in rows])
@@ -252,18 +277,19 @@ def score(documents: DataFrame, weights: np.ndarray, cfg: AbuseConfig = AbuseCon
         for pdf in batches:
             best, where = [], []
             for text in pdf["text"]:
-                words = reader.words(text) if text else []
+                words, at = reader.words(text or "")
+                a, b, have = reader.segments(at)
                 # one or two words say nothing by themselves, unless by their kind
-                spans = [(a, b) for a, b in reader.segments(words) if b - a > 2 or any(reader.kind(w) & STRONG for w in words[a:b])]
-                if not spans:
+                some = (b - a > 2) | (have & STRONG > 0)
+                a, b = a[some], b[some]
+                if not len(a):
                     best.append(0.0)
                     where.append(None)
                     continue
-                ids = np.fromiter(map(reader.number, words), dtype=np.int64, count=len(words))
+                ids = reader.index.hashes[at]
                 one = w[ids % cfg.buckets]
                 two = np.append(w[(ids[:-1] * 1_000_003 + ids[1:]) % cfg.buckets], 0)
                 s1, s2 = np.append(0, np.cumsum(one, dtype=np.float64)), np.append(0, np.cumsum(two, dtype=np.float64))
-                a, b = np.array(spans).T
                 total = s1[b] - s1[a] + s2[b - 1] - s2[a]
                 # as in training, features count by the root of their number
                 logits = bias + total / np.sqrt(2.0 * (b - a) - 1)

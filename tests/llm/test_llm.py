@@ -403,9 +403,9 @@ def test_scores(spark):
     ]
     data = [(i, "s" if i % 2 else None, " ".join(calm[(i + k) % 3] for k in range(4)) + (" " + foul[i // 9 % 8] if i % 9 == 0 else "")) for i in range(360)]
     data += [(900, "s", None), (901, "s", ""), (902, "s", "You are a w0rthless m***n.")]
-    got = {r["doc_id"]: r["score"] for r in abuse.abuse_scores(spark.createDataFrame(data, "doc_id bigint, source string, text string"), abuse.AbuseConfig(spare=3)).collect()}
+    got = {r["doc_id"]: r["score"] for r in abuse.abuse_scores(spark.createDataFrame(data, "doc_id bigint, source string, text string"), abuse.AbuseConfig(spare=1)).collect()}
     assert len(got) == len(data) and got[900] == got[901] == 0.0
-    assert all((got[i] >= 0.5) == (i % 9 == 0) for i in range(360))
+    assert all((got[i] >= abuse.AbuseConfig().threshold) == (i % 9 == 0) for i in range(360))
     assert abuse.abuse_scores(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
 
 
