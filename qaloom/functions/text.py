@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of `value`, which is computed once, also where `use` takes it into a lambda: there Catalyst would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space single, none at the ends."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))
@@ -77,9 +84,11 @@ def truncate_context(text: Column, limit: int = 1536) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct sequences of `n` tokens."""
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n))))
-    )
+
+    def of(t: Column) -> Column:
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, n)))))
+
+    return let(tokens, of)
 
 
 def meaningful_words(text: Column) -> Column:

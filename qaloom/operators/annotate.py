@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.functions.text import letters_share, meaningful_words, ngrams, numbers, share_in, squeeze, words
+from qaloom.functions.text import let, letters_share, meaningful_words, ngrams, numbers, share_in, squeeze, words
 from qaloom.operators.quality import is_garbled
 
 #: Wordings that hedge, of Portuguese and Spanish, and of vague questions.
@@ -41,13 +41,17 @@ def technical(text: Column) -> Column:
 
 def longest_run(answer: Column, context: Column) -> Column:
     """Share of the answer's words that the longest sequence of eight to two words found in the context makes up."""
-    a, c = squeeze(F.lower(answer)), squeeze(F.lower(context))
-    w = F.when(a == "", F.array().cast("array<string>")).otherwise(F.split(a, " "))
-    found = F.lit(0)
-    for n in range(2, 9):
-        some = F.exists(ngrams(w, n), lambda g: F.contains(c, g))
-        found = F.when((F.size(w) >= n) & some, F.lit(n)).otherwise(found)
-    return F.when(F.size(w) < 3, F.contains(c, a).cast("double")).otherwise(found / F.size(w))
+    def of(x: Column) -> Column:
+        a, c, w = x["a"], x["c"], x["w"]
+        found = F.lit(0)
+        for n in range(2, 9):
+            grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i, n=n: F.concat_ws(" ", F.slice(w, i, n)))
+            found = F.when((F.size(w) >= n) & F.exists(grams, lambda g: F.contains(c, g)), F.lit(n)).otherwise(found)
+        return F.when(F.size(w) < 3, F.contains(c, a).cast("double")).otherwise(found / F.size(w))
+
+    low = squeeze(F.lower(answer))
+    parts = F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, " "))
+    return let(F.struct(low.alias("a"), squeeze(F.lower(context)).alias("c"), parts.alias("w")), of)
 
 
 def features(records: DataFrame) -> DataFrame:
@@ -56,11 +60,12 @@ def features(records: DataFrame) -> DataFrame:
     x = records.withColumns({"_q": q, "_a": a, "_c": c, "_aw": meaningful_words(a), "_cw": F.array_distinct(meaningful_words(c)), "_qw": F.array_distinct(meaningful_words(q)), "_an": squeeze(F.lower(a)), "_cn": squeeze(F.lower(c))})
     aw, an = F.col("_aw"), words(F.col("_an"))
     found = F.filter(aw, lambda w: F.array_contains(F.col("_cw"), w))
-    triples = F.when(F.size(an) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(an) - 2), lambda i: F.concat_ws(" ", F.slice(an, i, 3))))
+    triples = let(an, lambda w: F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))))
+    phrases = let(F.struct(triples.alias("t"), F.col("_cn").alias("c")), lambda y: F.when(F.size(y["t"]) == 0, F.lit(0.0)).otherwise(F.size(F.filter(y["t"], lambda p: F.contains(y["c"], p))) / F.size(y["t"])))
     return x.withColumns({
         "token_overlap": F.when(F.size(aw) == 0, F.lit(0.0)).otherwise(F.size(found) / F.size(aw)),
         "number_overlap": share_in(numbers(a), numbers(c), 1.0),
-        "phrase_overlap": F.when(F.size(triples) == 0, F.lit(0.0)).otherwise(F.size(F.filter(triples, lambda p: F.contains(F.col("_cn"), p))) / F.size(triples)),
+        "phrase_overlap": phrases,
         "ngram_overlap": share_in(ngrams(an, 4), ngrams(words(F.col("_cn")), 4), 0.0),
         "run": longest_run(a, c),
         "technical_overlap": share_in(technical(a), technical(c), 1.0),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaloom.functions.text import word_set, words
+from qaloom.functions.text import let, word_set
 
 
 def token_scores(prediction: Column, reference: Column) -> Column:
@@ -36,13 +36,15 @@ def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
     """F1 of word n-grams, each counted as often as it occurs, without stemming."""
 
     def grams(text: Column) -> Column:
-        w = rouge_tokens(text)
-        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, n))))
+        return let(rouge_tokens(text), lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, n)))))
 
-    p, r = grams(prediction), grams(reference)
-    count = lambda a, g: F.size(a) - F.size(F.array_remove(a, g))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, g: s + F.least(count(p, g), count(r, g)))
-    return F.when((F.size(p) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * same / (F.size(p) + F.size(r)))
+    def score(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        count = lambda a, g: F.size(a) - F.size(F.array_remove(a, g))
+        same = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, g: s + F.least(count(p, g), count(r, g)))
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * same / (F.size(p) + F.size(r)))
+
+    return let(F.struct(grams(prediction).alias("p"), grams(reference).alias("r")), score)
 
 
 _VOWEL = "aeiou"

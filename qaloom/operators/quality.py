@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.functions.text import letters_share, occurrences, squeeze, word_set, words
+from qaloom.functions.text import let, letters_share, occurrences, squeeze, word_set, words
 
 #: Questions that ask for nothing.
 GENERIC = ("what?", "why?", "how?", "what is this?", "what is the main topic?", "what is this about?")
@@ -161,7 +161,7 @@ def extraction_quality(text: Column, least: int = 50, most_repetition: float = 0
     t = F.coalesce(text, F.lit(""))
     w = words(F.lower(t))
     distinct = F.array_distinct(w)
-    most = F.array_max(F.transform(distinct, lambda x: F.size(w) - F.size(F.array_remove(w, x))))
+    most = let(w, lambda v: F.array_max(F.transform(F.array_distinct(v), lambda x: F.size(v) - F.size(F.array_remove(v, x)))))
     repeats = F.when((F.length(t) < 50) | (F.size(w) < 10), F.lit(0.0)).otherwise(most / F.size(w))
     signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\x09-\x0d\x1c-\x20\x{85}\p{Z}]", "")) / F.length(t)
     failed = F.lit(False)
