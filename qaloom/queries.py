@@ -756,3 +756,62 @@ def nation_revenue(spark: SparkSession, d: str) -> DataFrame:
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
     by = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return by.groupBy("c_nationkey").agg(F.sum("r").alias("r")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"))
+
+
+# --- runs -----------------------------------------------------------------------------------------------------------
+
+
+@query("new_questions", f"WITH {QA}, b AS (SELECT DISTINCT md5({sql_squeeze('lower(question)')}) AS h FROM qa_release WHERE question IS NOT NULL) SELECT id FROM qa WHERE coalesce(md5({sql_squeeze('lower(question)')}), '') NOT IN (SELECT h FROM b)")
+def new_questions(spark: SparkSession, d: str) -> DataFrame:
+    from qaloom.operators.runs import new_questions as op
+
+    return op(qa(spark, d, ["id", "question"]), table(spark, d, "qa_release").select("question")).select("id")
+
+
+@query("circuit_breaker", f"""WITH {QA}, a AS (SELECT id, run_id, count(*) OVER w AS attempts, avg((answer IS NULL OR length(answer) < 20)::INT) OVER w AS share FROM qa WHERE run_id IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY id ROWS UNBOUNDED PRECEDING))
+SELECT id, attempts, round(share, 9) AS failed_share, attempts >= 10 AND share > 0.4 AS broken FROM a""")
+def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
+    from qaloom.operators.runs import breaks_circuit
+
+    failed = F.col("answer").isNull() | (F.length("answer") < 20)
+    rows = qa(spark, d, ["id", "run_id", "answer"]).where("run_id IS NOT NULL")
+    return breaks_circuit(rows, "run_id", "id", failed).select("id", "attempts", F.round("failed_share", 9).alias("failed_share"), "broken")
+
+
+def _sql_title_words(x: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))"
+
+
+REFS = f"""{REL}, m AS (SELECT doc_id, max(title) AS mt FROM doc_metadata GROUP BY doc_id), x AS (SELECT id, m.doc_id IS NOT NULL AS found, {_sql_title_words('title')} AS a, {_sql_title_words('mt')} AS b FROM rel LEFT JOIN m ON m.doc_id = rel.doc_id),
+s AS (SELECT id, found, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END AS similarity FROM x)"""
+
+
+@query("reference_check", f"WITH {REFS}, t AS (SELECT CASE WHEN NOT found OR similarity < 0.5 THEN 'FAIL' WHEN similarity < 0.8 THEN 'WARN' ELSE 'PASS' END AS status FROM s) SELECT status, count(*) AS records FROM t GROUP BY status")
+def reference_check(spark: SparkSession, d: str) -> DataFrame:
+    from qaloom.operators.runs import reference_status, title_similarity
+
+    known = table(spark, d, "doc_metadata").groupBy("doc_id").agg(F.max("title").alias("mt"), F.lit(True).alias("found"))
+    rows = rel(spark, d, ["id", "doc_id", "title"]).join(known, "doc_id", "left")
+    status = reference_status(F.col("found"), title_similarity(F.col("title"), F.col("mt")))
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("majority_label", f"WITH {RATERS}, l AS (SELECT doc_id, unnest([a, b, c]) AS label FROM p), g AS (SELECT doc_id, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label) AS k, count(*) OVER (PARTITION BY doc_id) AS kinds FROM g) SELECT doc_id, label, kinds = 1 AS unanimous FROM r WHERE k = 1")
+def majority_label(spark: SparkSession, d: str) -> DataFrame:
+    from qaloom.operators.runs import majority
+
+    return majority(_raters(spark, d).select("doc_id", F.explode(F.array("a", "b", "c")).alias("label")), "doc_id", "label")
+
+
+@query("retrieval_gain")
+def retrieval_gain(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval of answers by whole questions against that by their first six words."""
+    q, c, rels = _answers(spark, d)
+    short = q.withColumn("text", F.array_join(F.slice(tx.words(F.col("text")), 1, 6), " "))
+    means = [retrieval.long_metrics(retrieval.mean_metrics(retrieval.per_query_metrics(x, retrieval.top_k(retrieval.bm25_scores(x, c), 10), rels))) for x in (short, q)]
+    return retrieval.compare(*means)
+
+
+@query("median_lengths", f"WITH {QA} SELECT model, count(DISTINCT file_name) AS files, quantile_cont(length(answer), 0.5)::DOUBLE AS median_answer FROM qa GROUP BY model")
+def median_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return qa(spark, d, ["id", "model", "file_name", "answer"]).groupBy("model").agg(F.count_distinct("file_name").alias("files"), F.percentile(F.length("answer"), F.lit(0.5)).alias("median_answer"))
