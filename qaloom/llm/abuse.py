@@ -47,6 +47,7 @@ KINDS = list(WORDS)
 BIT = {k: 1 << i for i, k in enumerate(KINDS)}
 HIDDEN = 1 << len(KINDS)  # an insult, profanity or explicit word written so as not to be found
 DIGIT = HIDDEN << 1
+TEXT_END = "\n\0"
 END = DIGIT << 1  # no word, but the end of a sentence
 LETTER = END << 1  # a letter by itself
 TOKEN = re.compile(r"[^\W_]+(?:[*@#$%]+[^\W_]*)*|[.!?\n]+")
@@ -150,26 +151,33 @@ class Reader:
     def __init__(self, cfg: AbuseConfig):
         self.cfg, self.index = cfg, _Index()
 
-    def words(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Words in plain Latin lower case, ends of sentences among them, and their numbers; words spelt by letters joined."""
+    def words(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words in plain Latin lower case, words spelt by letters joined, with ends of sentences and of texts among them.
+
+        With the words come their numbers and, for each, which of `texts` it stands in: many texts at once cost less.
+        """
         if len(self.index) > 300_000:
             self.index = _Index()
-        low = text.lower()
-        tokens = TOKEN.findall(low.translate(LOOKALIKES) if LOOKALIKE.search(low) else low)
+        tokens: list[str] = []
+        for text in texts:
+            low = (text or "").lower()
+            tokens += TOKEN.findall(low.translate(LOOKALIKES) if LOOKALIKE.search(low) else low)
+            tokens.append(TEXT_END)
         at = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         letter = self.index.kinds[at] & LETTER > 0
-        if letter.sum() < 4 or not (letter[:-3] & letter[1:-2] & letter[2:-1] & letter[3:]).any():
-            return tokens, at
-        out, done = [], 0
-        for m in re.finditer(rb"\x01{4,}", letter.astype(np.uint8).tobytes()):
-            run = tokens[m.start() : m.end()]
-            out += tokens[done : m.start()]
-            first = 1 if run[0] in "ai" and EXACT.get("".join(run[1:])) and not EXACT.get("".join(run)) else 0
-            word = "".join(run[first:])
-            out += [*run[:first], word + "\0" if EXACT.get(word, 0) & STRONG else word]
-            done = m.end()
-        out += tokens[done:]
-        return out, np.fromiter(map(self.index.__getitem__, out), dtype=np.int64, count=len(out))
+        if (letter[:-3] & letter[1:-2] & letter[2:-1] & letter[3:]).any():
+            out, done = [], 0
+            for m in re.finditer(rb"\x01{4,}", letter.astype(np.uint8).tobytes()):
+                run = tokens[m.start() : m.end()]
+                out += tokens[done : m.start()]
+                first = 1 if run[0] in "ai" and EXACT.get("".join(run[1:])) and not EXACT.get("".join(run)) else 0
+                word = "".join(run[first:])
+                out += [*run[:first], word + "\0" if EXACT.get(word, 0) & STRONG else word]
+                done = m.end()
+            tokens = out + tokens[done:]
+            at = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        ends = at == self.index[TEXT_END]
+        return tokens, at, np.cumsum(ends) - ends
 
     def segments(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and behind the last word of sentences, of long ones of windows that overlap by half, and their kinds."""
@@ -208,11 +216,16 @@ BARS = [sum(BIT[k[3:]] for k in kinds if k.startswith("no ")) for _, kinds, _ in
 TELLING = sum(1 << k for k, (name, _, _) in enumerate(VOTERS) if name not in ("lab", "numbers"))
 
 
+def _some(texts: list, size: int = 400) -> Iterator[list]:
+    """Texts in lots of bounded number, to be read at once."""
+    return (texts[i : i + size] for i in range(0, len(texts), size))
+
+
 def vote(documents: DataFrame, cfg: AbuseConfig) -> DataFrame:
     """Numbers of segments by which voters vote (`kind` "count", summed per task), and segments for the classifier.
 
     Segments with a telling vote are all given, with a hash that puts them in a random order (`kind` "accused"), of the
-    rest about one in `spare` by their first and last word (`kind` "spare").
+    rest about one in `spare`, drawn by document and place (`kind` "spare").
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,9 +233,11 @@ def vote(documents: DataFrame, cfg: AbuseConfig) -> DataFrame:
         cache: dict[int, int] = {}
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                words, at = reader.words(text)
+            for lot in _some(list(zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True))):
+                words, at, text_of = reader.words([t for _, t in lot])
                 first, last, have = reader.segments(at)
+                if not len(first):
+                    continue
                 kinds, of, n = np.unique(have, return_inverse=True, return_counts=True)
                 patterns = np.empty(len(kinds), dtype=np.int64)
                 for k, h in enumerate(kinds.tolist()):
@@ -232,15 +247,17 @@ def vote(documents: DataFrame, cfg: AbuseConfig) -> DataFrame:
                     counts[cache[h]] += int(n[k])
                 p = patterns[of]
                 telling = p & TELLING > 0
-                edge = reader.index.hashes[at[first]] * 31 + reader.index.hashes[at[last - 1]]
-                for k in np.flatnonzero(telling | (edge % cfg.spare == 0)):
+                ids = np.array([k or 0 for k, _ in lot], dtype=np.int64).view(np.uint64)[text_of[first]]
+                place = (first - np.searchsorted(text_of, text_of[first])).astype(np.uint64)
+                drawn = (((ids * np.uint64(1_000_003) + place) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(cfg.spare) == 0
+                for k in np.flatnonzero(telling | drawn):
                     segment = " ".join(words[first[k] : last[k]])
                     h = int.from_bytes(hashlib.blake2b(segment.encode(), digest_size=7).digest(), "little")
                     rows.append(("accused" if telling[k] else "spare", int(p[k]), 1, h, segment))
             yield pd.DataFrame(rows, columns=["kind", "pattern", "n", "h", "segment"])
         yield pd.DataFrame({"kind": "count", "pattern": list(counts), "n": list(counts.values()), "h": 0, "segment": None})
 
-    return documents.select("text").where("text IS NOT NULL").mapInPandas(run, "kind string, pattern bigint, n bigint, h bigint, segment string")
+    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "kind string, pattern bigint, n bigint, h bigint, segment string")
 
 
 def train(documents: DataFrame, cfg: AbuseConfig = AbuseConfig()) -> tuple[LabelModel, np.ndarray]:
@@ -276,16 +293,12 @@ def score(documents: DataFrame, weights: np.ndarray, cfg: AbuseConfig = AbuseCon
         bias, w = float(w[-1]), w[:-1]
         for pdf in batches:
             best, where = [], []
-            for text in pdf["text"]:
-                words, at = reader.words(text or "")
+            for texts in _some(pdf["text"].tolist()):
+                words, at, text_of = reader.words(texts)
                 a, b, have = reader.segments(at)
                 # one or two words say nothing by themselves, unless by their kind
                 some = (b - a > 2) | (have & STRONG > 0)
                 a, b = a[some], b[some]
-                if not len(a):
-                    best.append(0.0)
-                    where.append(None)
-                    continue
                 ids = reader.index.hashes[at]
                 one = w[ids % cfg.buckets]
                 two = np.append(w[(ids[:-1] * 1_000_003 + ids[1:]) % cfg.buckets], 0)
@@ -293,9 +306,15 @@ def score(documents: DataFrame, weights: np.ndarray, cfg: AbuseConfig = AbuseCon
                 total = s1[b] - s1[a] + s2[b - 1] - s2[a]
                 # as in training, features count by the root of their number
                 logits = bias + total / np.sqrt(2.0 * (b - a) - 1)
-                k = int(np.argmax(logits))
-                best.append(float(1 / (1 + np.exp(-logits[k]))))
-                where.append(" ".join(words[a[k] : b[k]]).replace("\0", ""))
+                of = text_of[a]
+                order = np.lexsort((-logits, of))
+                firsts = order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order
+                scores, places = np.zeros(len(texts)), [None] * len(texts)
+                scores[of[firsts]] = 1 / (1 + np.exp(-logits[firsts]))
+                for k in firsts:
+                    places[of[k]] = " ".join(words[a[k] : b[k]]).replace("\0", "")
+                best += scores.tolist()
+                where += places
             yield pdf[["doc_id", "source"]].assign(score=best, segment=where)
 
     return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, segment string")

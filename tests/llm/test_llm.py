@@ -380,8 +380,8 @@ def test_hidden_words():
         assert abuse.kinds_of(w) & abuse.HIDDEN, w
     assert not abuse.kinds_of("b12") & abuse.STRONG and not abuse.kinds_of("column") & abuse.STRONG
     r = abuse.Reader(abuse.AbuseConfig())
-    words, _ = r.words("You m o r o n, and mо​ron.")
-    assert "moron\0" in words and words.count("moron") == 1
+    words, at, of = r.words(["You m o r o n, and mо​ron.", None, "x"])
+    assert "moron\0" in words and words.count("moron") == 1 and of[0] == 0 and of[-1] == 2 and len(words) == len(at) == len(of)
 
 
 def test_label_model_finds_accuracies():
