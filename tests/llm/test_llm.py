@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -372,6 +373,44 @@ def test_defects_end_to_end(spark):
     assert pair_defects.pair_defects(spark.createDataFrame([], "id string, question string, answer string")).count() == 0
 
 
+def test_openings_one_word_apart(spark):
+    words = [f"w{i}" for i in range(40)]
+    rng = random.Random(3)
+    some = set()
+    for n in range(1, 13):
+        for _ in range(6):
+            o = rng.choices(words, k=n)
+            some |= {" ".join(o), " ".join(o[:-1]), " ".join(o[1:] + ["x"]), " ".join([*o[: n // 2], "y", *o[n // 2 + 1 :]]), " ".join([*o[: n // 2], *o[n // 2 + 1 :]])}
+    some = sorted(some - {""})
+
+    def near(a, b):
+        x, y = (Counter(t.split()) for t in (a, b))
+        return max((x - y).total(), (y - x).total()) <= 1 and (x & y).total() >= 0.8 * (x | y).total()
+
+    root = {o: o for o in some}
+
+    def find(o):
+        return o if root[o] == o else find(root[o])
+
+    for a, b in itertools.combinations(some, 2):
+        if near(a, b):
+            root[find(b)] = find(a)
+    df = spark.createDataFrame([(i, o) for i, o in enumerate(some)], "node bigint, opening string")
+    got = {some[n]: some[t] for n, t in rows(pair_defects.opening_templates(df, pair_defects.DefectConfig()))}
+    assert len(got) == len(some) and len(set(got.values())) < len(some)
+    assert {frozenset(o for o in some if got[o] == t) for t in got.values()} == {frozenset(o for o in some if find(o) == t) for t in map(find, some)}
+
+
+def test_templates_show_refusals_without_words_of_declining(spark):
+    say = "Kindly direct your enquiry towards somebody {} who knows about such matters."
+    asked = ("Which column was used?", "How was honey kept?", "Why did the signal rise?", "When was it injected?")
+    data = [(f"r{i}", q, say.format(w), "The samples were kept cold.") for i, (q, w) in enumerate(zip(asked, ("else", "other", "local", "senior"), strict=True))]
+    data += [(f"g{i}", q, f"The honey was kept in a {w} vessel below the bench.", f"We kept the honey in a {w} vessel below the bench.") for i, (q, w) in enumerate(zip(asked, ("glass", "steel", "brown", "small"), strict=True))]
+    df = spark.createDataFrame(data, "id string, question string, answer string, context string")
+    assert not any(pair_defects.DECLINING.search(r[2]) for r in data)
+    assert dict(rows(pair_defects.pair_defects(df))) == {f"r{i}": "refusal" for i in range(4)}
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
