@@ -364,6 +364,21 @@ def test_pair_checks():
     assert not d.other_language(q, "The C18 column was used.") and not d.other_language("¿Cuál fue la columna de la miel?", "La columna fue de 30 m.") and not d.other_language(q, "5.3 ppm")
 
 
+@pytest.mark.parametrize(
+    ("question", "answer"),
+    [
+        ("Which spray voltage was applied?", "De terugwinning van ithiluvir bedroeg 28.1 % en bleef daarna gelijk."),
+        ("How far did the results differ?", "El límite de cuantificación de noraamine quedó fijado en 6.99 ng/mL tras comprobarlo en 180 muestras."),
+        ("When were peak areas inspected by hand?", "Le rendement d'extraction de TG 41:2 a atteint 2.9 %, alors qu'une seconde étape n'a ajouté que 62 %."),
+        ("¿Qué recuperación se obtuvo para quarivir?", "Die Wiederfindung von quarivir betrug 96.2 %, während ein zweiter Schritt nur noch 78 % lieferte."),
+    ],
+)
+def test_sentences_in_another_language_with_shared_words(question, answer):
+    assert pair_defects.other_language(question, answer)
+    assert not pair_defects.other_language(answer, answer) and not pair_defects.other_language(question, "Derivatisation converted PE 31:2 into a volatile product w")
+    assert not pair_defects.other_language(question, "I must decline to answer; please ask somebody.")
+
+
 def test_defects_end_to_end(spark):
     data = [(f"g{i:03d}", f"Which value number {i} was found in the sample?", f"The value found in the sample was {i} ppm at the end of the run.") for i in range(40)]
     data += [(f"r{i}", f"{w} was measured there?", "I'm sorry, but I cannot answer this question.") for i, w in enumerate(("What", "Which ion", "How much of it", "Why so little"))]
