@@ -364,6 +364,14 @@ def test_pair_checks():
     assert not d.other_language(q, "The C18 column was used.") and not d.other_language("¿Cuál fue la columna de la miel?", "La columna fue de 30 m.") and not d.other_language(q, "5.3 ppm")
 
 
+@pytest.mark.parametrize("question", ["How were the isomers of SM 43:6 separated?", "Which of the two columns was used for all of the honey in the end?"])
+def test_copies_in_a_row(question):
+    for n in (1, 2, 3):
+        assert pair_defects.copies(question, " ".join([question] * n)) and pair_defects.copies(question, "Question: " + " ".join([question] * n))
+    assert pair_defects.copies(question, f"Question 1: {question} Question 2: {question}")
+    assert not pair_defects.copies(question, f"{question} At 25 °C.") and not pair_defects.copies(question, f"{question} {question} At 25 °C.") and not pair_defects.copies(question, f"{question} {question} They were kept on a column of octadecyl silica for an hour.")
+
+
 @pytest.mark.parametrize(
     ("question", "answer"),
     [
