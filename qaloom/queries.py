@@ -429,6 +429,19 @@ def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     return release.redact_all(rows)
 
 
+RELEASE_TEXTS = [c for c in RELEASE if c not in ("paragraph_index", "line_number", "year", "context_offsets", "evidence_spans", "quality_score")]
+
+
+def _sql_redacted(x: str) -> str:
+    return f"regexp_replace({x}, '{release.SECRET}', '{release.MASK}', 'g')"
+
+
+@query("redacted_records", f"WITH {REL} SELECT {', '.join(f'{_sql_redacted(c)} AS {c}' for c in RELEASE_TEXTS)}, array_to_string(list_transform(evidence_spans, lambda s: {_sql_redacted('s.text')}), chr(10)) AS evidence FROM rel")
+def redacted_records(spark: SparkSession, d: str) -> DataFrame:
+    """Whole records without secrets, every text of them, those of the evidence in lines."""
+    return release.redact_all(rel(spark, d)).select(*RELEASE_TEXTS, F.array_join(F.transform("evidence_spans", lambda s: s["text"]), "\n").alias("evidence"))
+
+
 @query("audit_rows")
 def audit_rows(spark: SparkSession, d: str) -> DataFrame:
     return release.audit_rows(rel(spark, d))

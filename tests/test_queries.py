@@ -31,6 +31,29 @@ def test_query_equals_its_sql(spark, name):
     assert _rows(df.columns, df.collect()) == _rows(names, want.fetchall())
 
 
+def test_planted_secrets_are_redacted_in_whole_records(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from qaloom.operators.release import MASK
+    from qaloom.queries import ORACLE_SQL, QUERIES
+
+    key = "sk-Abc_def-" + "7" * 20
+    planted = spark.read.parquet(str(DATA / "qa_release.parquet")).where("question IS NOT NULL AND context IS NOT NULL").limit(60)
+    spans = F.transform("evidence_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(s["text"], F.lit(f" {key}")).alias("text")))
+    at = F.length("context") / 2
+    context = F.concat(F.substring("context", F.lit(1), at.cast("int")), F.lit(f" {key} {key}. "), F.substring("context", at.cast("int") + 1, F.length("context")))
+    planted.withColumns({"question": F.concat("question", F.lit(f" ({key})")), "answer": F.concat(F.lit(f"{key} "), "answer"), "context": context, "evidence_spans": spans}).write.parquet(str(tmp_path / "qa_release.parquet"))
+    df = QUERIES["redacted_records"](spark, str(tmp_path))
+    got = df.collect()
+    assert got and not any("sk-Abc" in str(v) for r in got for v in r)
+    assert all(r["question"].count(MASK) == 1 and r["context"].count(MASK) == 2 and len(r["context"]) > 100 for r in got) and any(MASK in (r["evidence"] or "") for r in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW qa_release AS SELECT * FROM '{tmp_path}/qa_release.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["redacted_records"])
+    assert _rows(df.columns, got) == _rows([d[0] for d in want.description], want.fetchall())
+
+
 def test_every_sql_has_its_query():
     from qaloom.queries import ORACLE_SQL, QUERIES
 
