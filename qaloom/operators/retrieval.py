@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,78 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float
     return postings.select("term", "cid", weight.alias("w")).join(asked, "term").groupBy("qid", "cid").agg(F.sum(F.col("w") * F.col("qn")).alias("score"))
 
 
+def bm25_best(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, block: int = 2048) -> DataFrame:
+    """`bm25_scores` of the best `k` documents, as `top_k` ranks them, of every query within each part of the corpus.
+
+    `queries` is a stated set and goes to every task in blocks of its own, with the weights of its terms; each task adds
+    up its documents term by term and keeps `k` a query, so pairs of a query and a document aren't rows.
+    """
+    spark = corpus.sparkSession
+    docs = staged(corpus.select("cid", words(F.lower("text")).alias("w")))
+    stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("avg")).first()
+    df = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    raw = staged(df.select("term", (F.log(F.lit(stats["docs"]) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    asked = queries.select("qid", F.explode(words(F.lower("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
+    weighed = staged(asked.join(raw, "term").select("qid", "term", "qn", F.when(F.col("raw") < 0, F.lit(floor) * F.lit(mean)).otherwise(F.col("raw")).alias("idf")))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
+    parts = max(1, -(-weighed.select("qid").distinct().count() // block))
+    out = spark.createDataFrame([], kinds)
+    for p in range(parts):
+        mine = weighed.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p).toPandas()
+        if mine.empty:
+            continue
+        row, qids = pd.factorize(mine["qid"])
+        mine = mine.assign(row=row)
+        terms = {t: (g["row"].to_numpy(), (g["idf"] * g["qn"]).to_numpy()) for t, g in mine.groupby("term")}
+        shared = spark.sparkContext.broadcast((np.asarray(qids), terms, bool((mine["idf"] > 0).all()), float(stats["avg"])))  # one block
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qids, terms, positive, avg = shared.value
+            best, least = pd.DataFrame({"q": np.empty(0, int), "cid": np.empty(0, object), "score": np.empty(0), "r": np.empty(0)}), np.full(len(qids), -np.inf)
+            pool: list[pd.DataFrame] = []
+
+            def kept() -> pd.DataFrame:
+                x = pd.concat([best, *pool]) if len(best) else pd.concat(pool) if pool else best
+                pool.clear()
+                x = x.sort_values(["q", "r", "cid"], ascending=[True, False, True], kind="stable")
+                x = x[x.groupby("q").cumcount() < k]
+                worst = x.groupby("q")["r"].agg(["size", "min"])
+                full = worst[worst["size"] == k]
+                least[full.index.to_numpy(dtype=int)] = full["min"]
+                return x
+
+            for pdf in batches:
+                for at in range(0, len(pdf), 1000):
+                    some = pdf.iloc[at : at + 1000]
+                    held: dict[str, list[tuple[int, float]]] = {}
+                    for i, w in enumerate(some["w"]):
+                        norm = k1 * (1 - b + b * len(w) / avg) if avg else k1
+                        for term, tf in Counter(w).items():
+                            if term in terms:
+                                held.setdefault(term, []).append((i, tf * (k1 + 1) / (tf + norm)))
+                    s = np.zeros((len(some), len(qids)))
+                    met = None if positive else np.zeros(s.shape, dtype=bool)
+                    for term, docs_of in held.items():
+                        rows, weight = terms[term]
+                        i = np.array([x for x, _ in docs_of])
+                        cells = np.ix_(i, rows)
+                        s[cells] += np.array([x for _, x in docs_of])[:, None] * weight[None, :]
+                        if met is not None:
+                            met[cells] = True
+                    good = (s > 0 if met is None else met) & (s >= least[None, :] - 1e-9)
+                    d, q = np.nonzero(good)
+                    if len(d):
+                        pool.append(pd.DataFrame({"q": q, "cid": some["cid"].to_numpy()[d], "score": s[d, q], "r": np.round(s[d, q], 9)}))
+                        if sum(map(len, pool)) > 4 * k * len(qids):
+                            best = kept()
+            best = kept()
+            yield pd.DataFrame({"qid": qids[best["q"].to_numpy(dtype=int)], "cid": best["cid"].to_numpy(), "score": best["score"].to_numpy()})
+
+        out = out.unionByName(docs.mapInPandas(run, kinds))
+    return out
+
+
 def top_k(scores: DataFrame, k: int, tie: str = "cid") -> DataFrame:
     """The best `k` of each query with `rank` from 1; equal scores in the order of `tie`.
 

@@ -517,6 +517,30 @@ def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("queries", *[F.round(x, 6).alias(x) for x in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10", "map_10")])
 
 
+def _all_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stated queries, the questions of test records, against all answers."""
+    q, _, rels = _answers(spark, d)
+    return q, qa(spark, d, ["id", "answer"]).where("answer IS NOT NULL").select(F.col("id").alias("cid"), F.col("answer").alias("text")), rels
+
+
+BM25_ALL = BM25.replace("AS w FROM t)", "AS w FROM qa WHERE answer IS NOT NULL)", 1)
+
+
+@query("bm25_topk_all", f"WITH {BM25_ALL} SELECT qid, cid, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best answers of all records for the questions of test records."""
+    q, c, _ = _all_answers(spark, d)
+    return retrieval.top_k(retrieval.bm25_best(q, c, 10), 10).select("qid", "cid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("bm25_metrics_all", ORACLE_SQL["bm25_metrics"].replace(BM25, BM25_ALL, 1))
+def bm25_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """`bm25_metrics` against all answers."""
+    q, c, rels = _all_answers(spark, d)
+    m = retrieval.mean_metrics(retrieval.per_query_metrics(q, retrieval.top_k(retrieval.bm25_best(q, c, 10), 10), rels))
+    return m.select("queries", *[F.round(x, 6).alias(x) for x in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10", "map_10")])
+
+
 @query("context_retrieval_task", f"WITH {REL} SELECT context_id AS cid, max_by(context, id) AS text, count(*) AS questions FROM rel WHERE context_id IS NOT NULL AND context IS NOT NULL GROUP BY context_id")
 def context_retrieval_task(spark: SparkSession, d: str) -> DataFrame:
     return rel(spark, d, ["id", "context_id", "context"]).where("context_id IS NOT NULL AND context IS NOT NULL").groupBy(F.col("context_id").alias("cid")).agg(F.max_by("context", "id").alias("text"), F.count(F.lit(1)).alias("questions"))
@@ -818,10 +842,10 @@ def majority_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query("retrieval_gain")
 def retrieval_gain(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval of answers by whole questions against that by their first six words."""
-    q, c, rels = _answers(spark, d)
+    """Retrieval among all answers by whole questions against that by their first six words."""
+    q, c, rels = _all_answers(spark, d)
     short = q.withColumn("text", F.array_join(F.slice(tx.words(F.col("text")), 1, 6), " "))
-    means = [retrieval.long_metrics(retrieval.mean_metrics(retrieval.per_query_metrics(x, retrieval.top_k(retrieval.bm25_scores(x, c), 10), rels))) for x in (short, q)]
+    means = [retrieval.long_metrics(retrieval.mean_metrics(retrieval.per_query_metrics(x, retrieval.top_k(retrieval.bm25_best(x, c, 10), 10), rels))) for x in (short, q)]
     return retrieval.compare(*means)
 
 

@@ -179,6 +179,18 @@ def test_bm25_golden(spark):
     assert m["mrr"] == pytest.approx(0.8125) and m["ndcg_10"] == pytest.approx(0.8615986575892967)
 
 
+def test_best_of_each_part_are_the_best_of_all(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the"] * 12
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    q = spark.createDataFrame([(f"q{i:02d}", text(rng.randint(1, 8))) for i in range(40)] + [("q98", "unheard"), ("q99", None)], "qid string, text string")
+    c = spark.createDataFrame([(f"c{i:04d}", text(rng.randint(0, 9))) for i in range(2500)], "cid string, text string").repartition(3)
+    for corpus in (c, c.where("cid < 'c0005'")):
+        want, got = (retrieval.top_k(x, 10).selectExpr("qid", "cid", "rank", "round(score, 7) AS score") for x in (retrieval.bm25_scores(q, corpus), retrieval.bm25_best(q, corpus, 10, block=16)))
+        assert set(rows(got)) == set(rows(want))
+    assert retrieval.bm25_best(q, c.where("false"), 10).count() == 0 and retrieval.bm25_best(q.where("false"), c, 10).count() == 0
+
+
 def test_retrieval_edges(spark):
     q = spark.createDataFrame([("q1", "zzz"), ("q2", "a"), ("q3", "")], "qid string, text string")
     c = spark.createDataFrame([("c1", "a b"), ("c2", "b"), ("c3", "c c")], "cid string, text string")
