@@ -19,6 +19,8 @@ CUT_MARKS = r"(?:[\p{L}\p{N},;(]…|[\p{L}\p{N},;(]\.\.\.|\x{FFFD}|&(?:#?[A-Za-z
 END = r"[.!?。！？][)\]}\"'”’»]*(?:\s+(?:Source:\s*)?[(\[](?:[^()\[\]]|[(\[][^()\[\]]*[)\]])*[)\]])?$"
 #: A row of a table with as many cells as the row before.
 ROW = r"(?:^|\n)[^\t\n]*((?:\t)[^\t\n]*){2,}\n[^\t\n]+(?:\t[^\t\n]+){2,}$"
+#: Articles and prepositions, which end no phrase.
+DANGLING = tuple("a an the of with from by to for at into and or der die das den dem des von mit für und zu le la les des du de avec pour et el los las del con para y".split())
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,9 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     a broken character) are cuts; a text closed by a full stop is one only if the stop belongs to a number or an
     abbreviation. So does a last word that never
     stands behind the two before it. Where a sequence is too rare to tell, a last line of prose without a stop is a cut, and so is an
-    unclosed text of a length at which texts of its field stop conspicuously often. A short phrase in a field that
-    doesn't start like a sentence is complete. Null and blank texts aren't cut; equal texts count once at ends; very
+    unclosed text of a length at which texts of its field stop conspicuously often. A short answer that
+    doesn't start like a sentence is excused from these two; what the sequences tell cuts it if its last word is unseen
+    there or can't end a phrase, and no more than two of its field have the same text. Null and blank texts aren't cut; equal texts count once at ends; very
     long ones are handled whole. An empty table gives an empty table.
     """
     rows = texts.select("id", "field", strip(F.col("text")).alias("text")).where(F.col("text") != "")
@@ -76,9 +79,11 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
         F.element_at("w", -1).rlike(r"^\p{Ll}+$").alias("plain"),
         (F.substring_index("text", "\n", -2).rlike(ROW) | last_line.rlike("(?i)" + RUNNING)).alias("row"),
         F.col("head").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
+        F.element_at("w", -1).isin(*DANGLING).alias("dangling"),
     )
     ends = staged(ends)
     once = ends.select("hash", "a", "b").distinct()
+    repeated = ends.where(F.col("n") - 2 <= cfg.phrase_words).groupBy("field", "hash").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= cfg.ends).select("field", "hash", F.lit(True).alias("repeated"))
 
     def counted(key: str) -> DataFrame:
         stop = once.groupBy(key).agg(F.count(F.lit(1)).alias(f"end_{key}"))
@@ -89,7 +94,7 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     by_length = ends.where(~F.col("closed") & (F.col("n_chars") >= cfg.spike_from)).groupBy("field", "n_chars").agg(F.count_distinct("hash").alias("k"))
     around = by_length.select("field", "k", F.explode(F.sequence(F.col("n_chars") - 10, F.col("n_chars") + 10)).alias("n_chars")).groupBy("field", "n_chars").agg(F.sum("k").alias("around"))
     spikes = by_length.join(around, ["field", "n_chars"]).where((F.col("k") >= cfg.spike) & (F.col("k") >= cfg.spike_times * (F.col("around") - F.col("k")) / 20.0)).select("field", "n_chars", F.lit(True).alias("spike"))
-    x = ends.join(ca, "a").join(cb, "b").join(spikes, ["field", "n_chars"], "left")
+    x = ends.join(ca, "a").join(cb, "b").join(spikes, ["field", "n_chars"], "left").join(repeated, ["field", "hash"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     share_a, share_b = F.col("end_a") / (F.col("end_a") + F.col("in_a")), F.col("end_b") / (F.col("end_b") + F.col("in_b"))
     common_end = ((F.col("end_a") >= cfg.ends) & (share_a >= cfg.almost_never)) | ((F.col("end_b") >= cfg.ends) & (share_b >= cfg.almost_never))
     never = (F.col("in_b") >= cfg.often) & ~common_end
@@ -102,7 +107,8 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
         .when(F.col("closed") & ~F.col("open_stop"), False)
         .when(F.col("closed") & F.col("abbreviated"), F.col("n") > 8)
         .when(F.col("closed"), number)
-        .when(phrase | (F.col("n") <= 4) | F.col("row"), False)
+        .when((F.col("n") <= 4) | F.col("row"), False)
+        .when(phrase, ~F.col("repeated") & (unseen | (never & F.col("dangling"))))
         .when(never | unseen, True)
         .when(F.col("spike") & F.col("prose"), True)
         .when(F.col("in_b") < cfg.often, F.col("prose"))

@@ -354,6 +354,15 @@ def test_truncation(spark):
     assert truncation.truncated(spark.createDataFrame([], "id string, field string, text string")).count() == 0
 
 
+def test_cut_short_phrases(spark):
+    names = ("zarol", "melin", "corin", "tasole", "ribine", "fenol", "kelit", "sulon")
+    data = [(f"a{i:03d}", "answer", f"The {names[i % 8]} number {i} ran on the ion trap with a {w} column and gave a signal.") for i, w in enumerate(("porous", "diol", "phenyl") * 30)]
+    data += [(f"p{i:03d}", "answer", f"the {names[i % 8]} ion trap with a {w} column") for i, w in enumerate(("porous", "diol", "phenyl") * 8)] + [(f"s{i}", "answer", "on a trap with a cone") for i in range(4)]
+    data += [("c1", "answer", "the Sorrel ion trap with a porou"), ("c2", "answer", "on the Sorrel ion trap with a")]
+    got = {r["id"] for r in truncation.truncated(spark.createDataFrame(data, "id string, field string, text string")).where("cut").collect()}
+    assert got == {"c1", "c2"}
+
+
 def test_pair_checks():
     d = pair_defects
     assert all(d.blank(x) for x in (None, "", " \n", "​", "N/A", "...", "Answer:", "[]", "nan")) and not d.blank("5") and not d.blank("No.")
