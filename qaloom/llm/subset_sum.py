@@ -24,20 +24,33 @@ def _prefill(counts: dict[int, int], target: int, bits: int) -> tuple[dict[int,
 def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, max_bits: int = MAX_BITS) -> dict[int, int]:
     """How many items of each size to take so that their total is closest to `target` (below it on a tie).
 
-    `counts` has the number of items of each positive size. Reachable totals are a bitset; one size with a multiplicity
-    is added by shifts of 1, 2, 4, ... and a rest, so the cost is distinct sizes * log(multiplicity) * bits / 64. The
-    bitset before each size is kept and the choice is read off backwards. With `at_most` no total over the target
-    counts. Exact up to `max_bits`; of a larger target most is first taken from all sizes in proportion. Sizes of 0 and
-    less are never taken; nothing to choose from, or a target of 0 or less, gives an empty choice.
+    `counts` has the number of items of each positive size. With `at_most` no total over the target counts. Of a target
+    over half of all, the items left out are chosen instead, so that a target near to nothing or to all is small. Exact
+    if the smaller part is up to `max_bits`; of a larger one most is first taken from all sizes in proportion. Sizes of
+    0 and less are never taken; nothing to choose from, or a target of 0 or less, gives an empty choice.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     if target <= 0 or not counts:
         return {}
-    if sum(s * n for s, n in counts.items()) <= target:
+    total = sum(s * n for s, n in counts.items())
+    if total <= target:
         return dict(counts)
+    if target * 2 <= total:
+        return _closest(counts, target, True, not at_most, True, max_bits)
+    out = _closest(counts, total - target, not at_most, True, False, max_bits)
+    return {s: n - out.get(s, 0) for s, n in counts.items() if n > out.get(s, 0)}
+
+
+def _closest(counts: dict[int, int], target: int, below: bool, above: bool, prefer_below: bool, max_bits: int) -> dict[int, int]:
+    """The choice closest to `target` with a total `below` it, `above` it, or either, which may be equal to it.
+
+    Reachable totals are a bitset; one size with a multiplicity is added by shifts of 1, 2, 4, ... and a rest, so the
+    cost is distinct sizes * log(multiplicity) * bits / 64. The bitset before each size is kept and the choice is read
+    off backwards.
+    """
     taken, rest = _prefill(counts, target, max_bits)
     left = {s: n - taken.get(s, 0) for s, n in counts.items() if n > taken.get(s, 0)}
-    top = rest if at_most else 2 * rest
+    top = rest if not above else 2 * rest if below else rest + max(left)
     mask = (1 << (top + 1)) - 1
     reach, before = 1, []
     for size in sorted(s for s in left if s <= top):
@@ -51,9 +64,9 @@ def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, m
     low = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
     best = low
     high = reach >> rest
-    if not at_most and high:
+    if above and high:
         over = rest + ((high & -high).bit_length() - 1)
-        if over - rest < rest - low:
+        if not below or over - rest < rest - low or (over - rest == rest - low and not prefer_below):
             best = over
     for size, n, earlier in reversed(before):
         k = 0

@@ -122,6 +122,16 @@ def test_closest_subset_against_brute_force():
     assert sum(s * n for s, n in big.items()) == 600_001
 
 
+@pytest.mark.parametrize("at_most", [False, True])
+def test_nearly_whole_targets_are_hit(at_most):
+    counts = dict.fromkeys(range(2000, 6000, 7), 3)
+    total = 3 * sum(counts)
+    for left in (2000, 2007 + 2014, 3 * 2000 + 5995):
+        got = closest_subset(counts, total - left, at_most)
+        assert sum(s * n for s, n in got.items()) == total - left and all(n <= 3 for n in got.values())
+    assert sum(s * n for s, n in closest_subset(counts, total - 1, at_most).items()) == (total - 2000 if at_most else total)
+
+
 def test_split_assignment_keeps_groups(spark):
     rng = random.Random(8)
     sizes = [rng.choice([1, 1, 1, 2, 3, 5, 8, 40]) for _ in range(300)] + [0] * 20
