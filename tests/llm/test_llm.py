@@ -410,37 +410,57 @@ def test_defects_end_to_end(spark):
     data = [(f"g{i:03d}", f"Which value number {i} was found in the sample?", f"The value found in the sample was {i} ppm at the end of the run.") for i in range(40)]
     data += [(f"r{i}", f"{w} was measured there?", "I'm sorry, but I cannot answer this question.") for i, w in enumerate(("What", "Which ion", "How much of it", "Why so little"))]
     data += [("e", "Which one was it?", None), ("k", "Which one was it in the end?", "Which one was it in the end?"), ("n", None, "A plain answer that stands by itself.")]
-    got = dict(rows(pair_defects.pair_defects(spark.createDataFrame(data, "id string, question string, answer string"))))
+    got = dict(rows(pair_defects.pair_defects(spark.createDataFrame(data, "id string, question string, answer string")).select("id", "defect")))
     assert got == {"r0": "refusal", "r1": "refusal", "r2": "refusal", "r3": "refusal", "e": "empty", "k": "copied_question"}
     assert pair_defects.pair_defects(spark.createDataFrame([], "id string, question string, answer string")).count() == 0
 
 
-def test_openings_one_word_apart(spark):
+def test_openings_by_verified_minhash(spark):
     words = [f"w{i}" for i in range(40)]
     rng = random.Random(3)
     some = set()
-    for n in range(1, 13):
-        for _ in range(6):
+    for n in range(3, 13):
+        for _ in range(12):
             o = rng.choices(words, k=n)
-            some |= {" ".join(o), " ".join(o[:-1]), " ".join(o[1:] + ["x"]), " ".join([*o[: n // 2], "y", *o[n // 2 + 1 :]]), " ".join([*o[: n // 2], *o[n // 2 + 1 :]])}
+            some |= {" ".join(o), " ".join(o[:-1]), " ".join(rng.sample(o, n)), " ".join([*o[: n // 2], "y", *o[n // 2 + 1 :]]), " ".join([*o, "z"])}
     some = sorted(some - {""})
 
     def near(a, b):
-        x, y = (Counter(t.split()) for t in (a, b))
-        return max((x - y).total(), (y - x).total()) <= 1 and (x & y).total() >= 0.8 * (x | y).total()
+        x, y = (set(t.split()) for t in (a, b))
+        return len(x & y) >= 0.8 * len(x | y)
 
     root = {o: o for o in some}
 
     def find(o):
         return o if root[o] == o else find(root[o])
 
-    for a, b in itertools.combinations(some, 2):
-        if near(a, b):
-            root[find(b)] = find(a)
+    links = [(a, b) for a, b in itertools.combinations(some, 2) if near(a, b)]
+    for a, b in links:
+        root[find(b)] = find(a)
     df = spark.createDataFrame([(i, o) for i, o in enumerate(some)], "node bigint, opening string")
-    got = {some[n]: some[t] for n, t in rows(pair_defects.opening_templates(df, pair_defects.DefectConfig()))}
-    assert len(got) == len(some) and len(set(got.values())) < len(some)
-    assert {frozenset(o for o in some if got[o] == t) for t in got.values()} == {frozenset(o for o in some if find(o) == t) for t in map(find, some)}
+    for bucket in (2_000, 3):  # the second one splits most buckets
+        got = {some[n]: some[t] for n, t in rows(pair_defects.opening_templates(df, pair_defects.DefectConfig(bucket=bucket)))}
+        assert len(got) == len(some) and all(find(o) == find(t) for o, t in got.items())
+        assert sum(got[a] == got[b] for a, b in links) >= (0.99 if bucket > 3 else 0.9) * len(links)
+
+
+def test_planted_refusals_in_unseen_words(spark):
+    rng = random.Random(5)
+    things = "honey salmon wheat sludge plasma urine maize yeast".split()
+    verbs = "extracted dried filtered weighed stored spiked frozen".split()
+    kinds = ("Which column held the {t}?", "How was {t} {v} here?", "Why did {t} turn brown?", "When was the {t} {v}?", "What did the {t} weigh?")
+    say = ("Frankly speaking, such matters exceed whatever my humble self dares {}.", "Kindly direct that enquiry towards somebody {} instead of me.")
+    data = []
+    for i in range(1_200):
+        t, v = rng.choice(things), rng.choice(verbs)
+        context = f"The {t} was {v} after day {i} and kept in a brown vessel on the second column until it turned."
+        q = rng.choice(kinds).format(t=t, v=v)
+        planted = i < 200
+        a = say[i % 2].format(rng.choice(("today", "wiser", "senior", "local", "proper"))) if planted else f"The {t} was {v} and kept in a brown vessel."
+        data.append((f"{'r' if planted else 'g'}{i:04d}", q, a, context))
+    assert not any(pair_defects.DECLINING.search(r[2]) for r in data)
+    got = rows(pair_defects.pair_defects(spark.createDataFrame(data, "id string, question string, answer string, context string")).select("id", "defect", "how"))
+    assert {(d, h) for _, d, h in got} == {("refusal", "template")} and {i for i, _, _ in got} == {r[0] for r in data if r[0].startswith("r")}
 
 
 def test_templates_show_refusals_without_words_of_declining(spark):
@@ -450,7 +470,7 @@ def test_templates_show_refusals_without_words_of_declining(spark):
     data += [(f"g{i}", q, f"The honey was kept in a {w} vessel below the bench.", f"We kept the honey in a {w} vessel below the bench.") for i, (q, w) in enumerate(zip(asked, ("glass", "steel", "brown", "small"), strict=True))]
     df = spark.createDataFrame(data, "id string, question string, answer string, context string")
     assert not any(pair_defects.DECLINING.search(r[2]) for r in data)
-    assert dict(rows(pair_defects.pair_defects(df))) == {f"r{i}": "refusal" for i in range(4)}
+    assert dict(rows(pair_defects.pair_defects(df).select("id", "defect"))) == {f"r{i}": "refusal" for i in range(4)}
 
 
 # --- 10 ---------------------------------------------------------------------------------------------------------------
