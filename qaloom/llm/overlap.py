@@ -62,6 +62,11 @@ def elements(text: str, hashes: dict) -> np.ndarray:
     return h.view(np.int64)
 
 
+def ordered(text: str) -> bytes:
+    """Digest of the canonical text: its words in lower case in their order, without punctuation and white space."""
+    return hashlib.blake2b(" ".join(WORD.findall(text.lower())).encode(), digest_size=16).digest()
+
+
 def bitmap(parts: np.ndarray) -> bytes:
     """Parity of the number of elements in each of BITS slots: two texts' maps differ in no more slots than elements."""
     slots = (parts.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)
@@ -69,22 +74,24 @@ def bitmap(parts: np.ndarray) -> bytes:
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """Of `id, loaded_at, split, source, question, context`: `uid` names the canonical pair of texts, with what finds its like."""
-    schema = "id string, loaded_at timestamp_ntz, split string, source string, uid binary, nq int, nc int, qk array<bigint>, bits binary"
+    """Of `id, loaded_at, split, source, question, context`: `uid` names the pair of texts as bags of words, with what finds
+    its like, and `oid` the pair of canonical texts in their order."""
+    schema = "id string, loaded_at timestamp_ntz, split string, source string, uid binary, oid binary, nq int, nc int, qk array<bigint>, bits binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for pdf in batches:
-            uid, nq, nc, qk, bits = [], [], [], [], []
+            uid, oid, nq, nc, qk, bits = [], [], [], [], [], []
             for q, c in zip(pdf["question"], pdf["context"], strict=True):
                 a, b = elements(q, hashes) if q else np.zeros(0, np.int64), elements(c, hashes) if c else np.zeros(0, np.int64)
                 uid.append(hashlib.blake2b(a.tobytes() + b"|" + b.tobytes(), digest_size=16).digest())
+                oid.append(hashlib.blake2b(ordered(q or "") + ordered(c or ""), digest_size=16).digest())
                 nq.append(len(a))
                 nc.append(len(b))
                 qk.append(a)
                 bits.append(bitmap(b) if len(b) else b"")
             out = pdf[["id", "loaded_at", "split", "source"]].copy()
-            yield out.assign(uid=uid, nq=nq, nc=nc, qk=qk, bits=bits)
+            yield out.assign(uid=uid, oid=oid, nq=nq, nc=nc, qk=qk, bits=bits)
 
     return records.mapInPandas(run, schema)
 
@@ -178,25 +185,26 @@ def _parts(texts: DataFrame) -> DataFrame:
 
 
 def overlaps(records: DataFrame, cfg: OverlapConfig = OverlapConfig()) -> tuple[DataFrame, DataFrame]:
-    """Pairs of units (`e` an evaluation unit, `t` a training unit, `exact`), and `members` (`uid`, `id`, `split`, `source`).
+    """Pairs of units (`e` an evaluation unit, `t` a training unit), and `members` (`uid`, `oid`, `id`, `split`, `source`).
 
     `records` has `id, loaded_at, split, source, question, context`; of a repeated id the latest row counts. A unit is
     what has the same canonical question and context: words in lower case without punctuation and white space, as a bag.
-    Hashes of that form are joined between the splits, which gives the exact overlaps. Almost equal units share a rare
+    Hashes of that form are joined between the splits. Members of a pair whose `oid` agree are exact overlaps: the same
+    words in the same order. Almost equal units share a rare
     word of the question by the prefix rule; those are compared in blocks of bounded size by length and by a bitmap of
     the context, both of which only ever rule out pairs below the share, and what is left is counted exactly. Rows
     without id, split, question or context, or without a word in either, take no part; empty tables give empty ones.
     """
     spark = records.sparkSession
     prints = fingerprints(records.where("id IS NOT NULL"))
-    last = staged(latest_rows(prints, "id", "loaded_at", ["id", "loaded_at", "split", "source", "uid", "nq", "nc", "qk", "bits"]).where("split IS NOT NULL AND nq > 0 AND nc > 0"))
-    members = last.select("uid", "id", "split", "source")
+    last = staged(latest_rows(prints, "id", "loaded_at", ["id", "loaded_at", "split", "source", "uid", "oid", "nq", "nc", "qk", "bits"]).where("split IS NOT NULL AND nq > 0 AND nc > 0"))
+    members = last.select("uid", "oid", "id", "split", "source")
     units = last.groupBy("uid").agg(
         F.bool_or(F.col("split") != "train").alias("evals"), F.bool_or(F.col("split") == "train").alias("trains"),
         *[F.first(c).alias(c) for c in ("nq", "nc", "qk", "bits")], F.min(F.struct("id", "loaded_at")).alias("one"),
     )
     units = staged(units)
-    exact = units.where("evals AND trains").select(F.col("uid").alias("e"), F.col("uid").alias("t"), F.lit(True).alias("exact"))
+    same = units.where("evals AND trains").select(F.col("uid").alias("e"), F.col("uid").alias("t"))
     counts = np.zeros(cfg.df_buckets, dtype=np.int64)
     slot = F.col("h") % F.lit(cfg.df_buckets)
     slot = F.when(slot < 0, slot + cfg.df_buckets).otherwise(slot)  # as the unsigned remainder, the length being a power of 2
@@ -215,8 +223,8 @@ def overlaps(records: DataFrame, cfg: OverlapConfig = OverlapConfig()) -> tuple[
     def recurs(a: str, b: str):
         return F.size(F.array_intersect(a, b)) >= F.lit(cfg.share) * F.greatest(F.size(a), F.size(b)) - F.lit(1e-9)
 
-    near = maybe.join(left, "e").join(right, "t").where(recurs("qe", "qt") & recurs("ce", "ct")).select("e", "t", F.lit(False).alias("exact"))
-    return staged(exact.unionByName(near)), members
+    near = maybe.join(left, "e").join(right, "t").where(recurs("qe", "qt") & recurs("ce", "ct")).select("e", "t")
+    return staged(same.unionByName(near)), members
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +234,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, members = overlaps(_records(spark, sf_dir))
-    evals = members.where("split <> 'train'").select(F.col("uid").alias("e"), F.col("id").alias("eval_id"), "split", "source")
-    trains = members.where("split = 'train'").select(F.col("uid").alias("t"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
-    return pairs.join(evals, "e").join(trains, "t")
+    evals = members.where("split <> 'train'").select(F.col("uid").alias("e"), F.col("oid").alias("eo"), F.col("id").alias("eval_id"), "split", "source")
+    trains = members.where("split = 'train'").select(F.col("uid").alias("t"), F.col("oid").alias("to"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
+    return pairs.join(evals, "e").join(trains, "t").withColumn("exact", F.col("eo") == F.col("to"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,11 +250,12 @@ def p7_by_split_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("exact").alias("exact_pairs"), F.count_distinct("eval_id").alias("records"))
 
 
-P7_FOUND_SQL = r"""
+P7_PAIRS = r"""
 WITH latest AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS d FROM qa_release WHERE id IS NOT NULL
 ), r AS (
   SELECT id, CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('val', 'validation', 'dev', 'test') THEN 'eval' END AS side,
+         CASE WHEN lower(trim(split)) = 'test' THEN 'test' ELSE 'val' END AS part, nullif(regexp_extract(source_pdf, '^/corpus/([^/]+)/', 1), '') AS source,
          regexp_extract_all(lower(question), '[\p{L}\p{N}]+') AS q, regexp_extract_all(lower(context), '[\p{L}\p{N}]+') AS c
   FROM latest WHERE d = 1
 ), k AS (SELECT * FROM r WHERE side IS NOT NULL AND len(q) > 0 AND len(c) > 0
@@ -257,7 +266,10 @@ WITH latest AS (
   SELECT e.id AS e, t.id AS t, count(*) FILTER (WHERE e.f = 'q') AS sq, count(*) FILTER (WHERE e.f = 'c') AS sc
   FROM (SELECT * FROM w WHERE side = 'eval') e JOIN (SELECT * FROM w WHERE side = 'train') t ON e.f = t.f AND e.w = t.w AND e.nth = t.nth GROUP BY 1, 2
 )
-SELECT least(e, t) AS id_a, greatest(e, t) AS id_b
+SELECT e, t, a.part AS split, a.source AS source, a.q = b.q AND a.c = b.c AS exact
 FROM shared JOIN k a ON a.id = e JOIN k b ON b.id = t
 WHERE sq * 4 >= 3 * greatest(len(a.q), len(b.q)) AND sc * 4 >= 3 * greatest(len(a.c), len(b.c))
 """
+
+P7_FOUND_SQL = f"SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM ({P7_PAIRS})"
+P7_BY_SPLIT_SOURCE_SQL = f"SELECT split, source, count(*) AS pairs, count(*) FILTER (WHERE exact) AS exact_pairs, count(DISTINCT e) AS records FROM ({P7_PAIRS}) GROUP BY split, source"
