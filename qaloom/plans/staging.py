@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's `spark.checkpoint.dir`; only where it is unset (tests, one machine) set a folder."""
+    """Keep the cluster's `spark.checkpoint.dir`; only on a single machine (tests), where it is unset, set a folder.
+
+    On a cluster without one an error is raised: a folder of the driver's machine can't be read by executors.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="qaloom-checkpoint-"))
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="qaloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def staged(df: DataFrame, eager: bool = True) -> DataFrame:

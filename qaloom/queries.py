@@ -423,10 +423,17 @@ def restricted_projection(spark: SparkSession, d: str) -> DataFrame:
     return release.restricted(rel(spark, d)).select("id", "license", "question_type", "answer_style", "answer", "answer_released", "redistribution_status")
 
 
-@query("redact_secrets", f"WITH {QA} SELECT id, replace(context || ' sk-', ' sk-', ' [REDACTED_OPENAI_API_KEY]') AS context FROM (SELECT id, left(context, 0) AS context FROM qa WHERE context IS NOT NULL)")
+def _keyed(x: str) -> str:
+    """`x` with a key behind it in about a fifth of the records."""
+    key = "' key sk-' || replace(id, '-', '') || ' (kept out)'"
+    return f"CASE WHEN ascii(substr(id, 1, 1)) % 5 = 0 THEN {x} || {key} ELSE {x} END"
+
+
+@query("redact_secrets", f"WITH {QA} SELECT id, {', '.join(f"regexp_replace({_keyed(c)}, '{release.SECRET}', '{release.MASK}', 'g') AS {c}" for c in ('question', 'answer', 'context'))} FROM qa")
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    rows = qa(spark, d, ["id", "context"]).where("context IS NOT NULL").select("id", F.concat(F.left("context", F.lit(0)), F.lit(" sk-abcdefghijklmnopqrstuvwxyz")).alias("context"))
-    return release.redact_all(rows)
+    """Questions, answers and contexts of all records without keys; some records get one first, to be found."""
+    rows = qa(spark, d, ["id", "question", "answer", "context"])
+    return release.redact_all(rows.select("id", *[F.expr(_keyed(c)).alias(c) for c in ("question", "answer", "context")]))
 
 
 RELEASE_TEXTS = [c for c in RELEASE if c not in ("paragraph_index", "line_number", "year", "context_offsets", "evidence_spans", "quality_score")]
