@@ -117,3 +117,19 @@ def metadata_columns(text: Column) -> dict[str, Column]:
         "doi": doi, "pmid": pmid, "arxiv_id": arxiv, "title": title, "year": year, "venue": venue,
         "license": license_of(text, venue, doi), "extraction_confidence": confidence_of(doi, pmid, arxiv, title, year, venue),
     }
+
+
+def looked_up(own: dict[str, Column], found: dict[str, Column], hit: Column) -> dict[str, Column]:
+    """Fields of a record with those of a lookup: title, year and venue where they are missing, authors always.
+
+    The licence becomes open_access if a licence address found says so; a hit adds .2 to the confidence, up to 1.
+    `hit` tells whether the lookup had the record; `found["authors"]` may be null, then the own ones stay.
+    """
+    blank = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    open_licence = F.exists(F.coalesce(found["license_urls"], F.array().cast("array<string>")), lambda u: F.lower(u).rlike("creativecommons|open"))
+    return {
+        **{k: F.when(blank(own[k]).isNull() & hit, found[k]).otherwise(own[k]) for k in ("title", "year", "venue")},
+        "authors": F.when(hit & found["authors"].isNotNull(), found["authors"]).otherwise(own["authors"]),
+        "license": F.when(hit & open_licence, F.lit("open_access")).otherwise(own["license"]),
+        "extraction_confidence": F.when(hit, F.least(F.coalesce(own["extraction_confidence"], F.lit(0.0)) + F.lit(0.2), F.lit(1.0))).otherwise(own["extraction_confidence"]),
+    }

@@ -109,3 +109,55 @@ def share_in(part: Column, whole: Column, empty: float) -> Column:
 def letters_share(text: Column, kinds: str) -> Column:
     """Share of the characters that belong to the class `kinds`."""
     return F.length(F.regexp_replace(text, f"[^{kinds}]", "")) / F.length(text)
+
+
+#: Letters and signs that have no decomposition, and what is written for them.
+PLAIN = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "þ": "th", "Þ": "Th", "ð": "d", "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "×": "x", "µ": "u", "°": "deg", "±": "+-", "€": "EUR", "·": "*", "•": "*", "«": "<<", "»": ">>", "©": "(c)", "®": "(r)", "™": "tm"}
+#: Letters with marks, and those without.
+MARKED = ("àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž", "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz")
+
+
+def plain_latin(text: Column) -> Column:
+    """`text` in ASCII: marks taken off letters, ligatures and signs spelt out, anything else left out."""
+    low, bare = MARKED
+    out = F.translate(text, low + low.upper().replace("I", "I"), bare + bare.upper())
+    for sign, plain in PLAIN.items():
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return F.regexp_replace(out, r"[^\x00-\x7f]", "")
+
+
+def plain_page(text: Column, least: int = 10) -> Column:
+    """A page in ASCII with single blanks; empty if it has fewer than `least` characters."""
+    out = squeeze(plain_latin(F.coalesce(text, F.lit(""))))
+    return F.when(F.length(out) < least, F.lit("")).otherwise(out)
+
+
+def as_text(value: Column, kind: str = "string") -> Column:
+    """A field as one line: a string with single blanks, a list of strings joined, null as empty, anything else as JSON."""
+    if kind == "string":
+        return squeeze(F.coalesce(value, F.lit("")))
+    if kind == "array<string>":
+        return squeeze(F.array_join(F.transform(F.filter(F.coalesce(value, F.array().cast("array<string>")), lambda x: x.isNotNull()), squeeze), " "))
+    return squeeze(F.coalesce(F.to_json(value), F.lit("")))
+
+
+def html_to_text(html: Column) -> Column:
+    """The text of HTML: no scripts, styles, comments and tags, a line at each block's end, the common entities resolved."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|head)\b.*?</(?:script|style|head)>", " ")
+    out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6]|table|section|article)>", "\n")
+    out = F.regexp_replace(out, r"(?s)<[a-zA-Z/!][^>]*>", "")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+
+def html_to_markdown(html: Column) -> Column:
+    """HTML as Markdown: headings, bold, italics, list items and links as signs, the rest as `html_to_text`."""
+    out = F.coalesce(html, F.lit(""))
+    for level in range(1, 7):
+        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "#" * level + " $1</p>")
+    out = F.regexp_replace(out, r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>", "**$1**")
+    out = F.regexp_replace(out, r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>", "*$1*")
+    out = F.regexp_replace(out, r"(?is)<li\b[^>]*>(.*?)</li>", "* $1</p>")
+    out = F.regexp_replace(out, r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)")
+    return html_to_text(out)

@@ -92,3 +92,42 @@ def summary(annotations: DataFrame, label: str) -> DataFrame:
     k = annotations.select(label_kind(F.col(label)).alias("k"))
     x = k.agg(F.count("k").alias("n"), F.count_if(F.col("k") == "yes").alias("yes"), F.count_if(F.col("k") == "partial").alias("partial"), F.count_if(F.col("k") == "no").alias("no"))
     return x.withColumn("accuracy", (F.col("yes") + 0.5 * F.col("partial")) / F.nullif(F.col("n"), F.lit(0)))
+
+
+#: What labels of each rubric are looked for, in this order.
+RUBRICS = {"answer_correct": ("yes", "partial", "no"), "evidence_support": ("yes", "partial", "no"), "evidence_quality": ("good", "weak", "missing"), "question_clarity": ("good", "ambiguous", "bad")}
+
+
+def rubric_summary(annotations: DataFrame, by: str | None = None) -> DataFrame:
+    """`rubric`, `kind`, `n` of the four rubrics in `annotations`, for each value of `by` if given; blank labels count nowhere."""
+    keys = [by] if by else []
+    pairs = []
+    for rubric, kinds in RUBRICS.items():
+        low, found = F.lower(F.col(rubric)), F.lit(None).cast("string")
+        for kind in reversed(kinds):
+            found = F.when(F.contains(low, F.lit(kind)), kind).otherwise(found)
+        pairs.append(F.struct(F.lit(rubric).alias("rubric"), found.alias("kind")))
+    long = annotations.select(*keys, F.explode(F.array(*pairs)).alias("x")).select(*keys, "x.rubric", "x.kind").where("kind IS NOT NULL")
+    return long.groupBy(*keys, "rubric", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mean_kappa(a: DataFrame, b: DataFrame, key: str, rubrics: tuple[str, ...] = tuple(RUBRICS)) -> DataFrame:
+    """`rows_aligned`, the keys both annotators have, and `mean_kappa` over the rubrics; one without pairs counts 0."""
+    def long(x: DataFrame) -> DataFrame:
+        return x.select(key, F.explode(F.array(*[F.struct(F.lit(r).alias("rubric"), F.trim(F.col(r)).alias("label")) for r in rubrics])).alias("x")).select(key, "x.rubric", "x.label").where("label <> ''")
+
+    pairs = long(a).withColumnRenamed("label", "a").join(long(b).withColumnRenamed("label", "b"), [key, "rubric"])
+    per = cohen_kappa(pairs, "rubric").agg((F.coalesce(F.sum("kappa"), F.lit(0.0)) / len(rubrics)).alias("mean_kappa"))
+    common = a.select(key).distinct().join(b.select(key).distinct(), key).agg(F.count(F.lit(1)).alias("rows_aligned"))
+    return common.crossJoin(F.broadcast(per))  # one row each
+
+
+def matched_agreement(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
+    """`n`, `agreement`, `kappa` over the common keys: agreement is a share of all of them, also of those without a label.
+
+    Labels are compared in lower case without blanks at the ends; kappa is over the pairs that have both, 0 without any.
+    """
+    x = a.select(key, F.lower(F.trim(F.col(label))).alias("a")).join(b.select(key, F.lower(F.trim(F.col(label))).alias("b")), key)
+    total = x.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("a") == F.col("b")) & (F.col("a") != "")).alias("same"))
+    kappa = cohen_kappa(x.where("a <> '' AND b <> ''")).agg(F.coalesce(F.max("kappa"), F.lit(0.0)).alias("kappa"))
+    return total.crossJoin(F.broadcast(kappa)).select("n", F.when(F.col("n") > 0, F.col("same") / F.col("n")).otherwise(F.lit(0.0)).alias("agreement"), "kappa")  # one row each

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.functions.text import squeeze
+from qaloom.operators.graph import link_components
+from qaloom.operators.rows import positions
 from qaloom.plans.staging import staged
 
 
@@ -27,23 +29,48 @@ def exact_dedup(records: DataFrame, key: Column, order: list[Column]) -> DataFra
     return first.where("_r = 1").drop("_key", "_r").unionByName(keyed.where(F.col("_key").isNull()).drop("_key"))
 
 
-def first_wins(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def first_wins(nodes: DataFrame, links: DataFrame, grouped: int = 5_000) -> DataFrame:
     """`node` and `kept`: a node falls if an earlier node that is kept is linked to it.
 
-    `nodes` has `node`, an orderable position; `links` has `a` < `b`. Rounds to a fixpoint: a node without undecided or
-    kept earlier neighbours is kept, one with a kept neighbour falls. A chain falls and stays in turn, unlike a
-    component. Every round ends in the checkpoint folder.
+    `nodes` has `node`, an orderable position; `links` has `a` < `b`. Components of up to `grouped` links are each gone
+    through in order inside one task, so chains cost no rounds. Links of larger ones are decided in rounds to a fixpoint:
+    a node without undecided or kept earlier neighbours is kept, one with a kept neighbour falls.
     """
-    state = nodes.select("node", F.lit(None).cast("boolean").alias("kept")).distinct()
     links = staged(links.where("a < b").select("a", "b").distinct())
+    kind = nodes.schema["node"].dataType.simpleString()
+    roots = staged(link_components(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), links))
+    rooted = staged(links.join(roots.withColumnRenamed("node", "a"), "a"))
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    small, large = (rooted.join(sizes.where(c), "root", "left_semi") for c in (F.col("n") <= grouped, F.col("n") > grouped))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        here = None
+        for pdf in batches:  # links of a component in the order of their later end
+            out = []
+            for root, b, earlier in zip(pdf["root"], pdf["b"], pdf["earlier"], strict=True):
+                if root != here:
+                    here, kept = root, {}
+                for a in earlier:
+                    if a not in kept:
+                        kept[a] = True
+                        out.append((a, True))
+                kept[b] = not any(kept[a] for a in earlier)
+                out.append((b, kept[b]))
+            yield pd.DataFrame(out, columns=["node", "new"])
+
+    per = small.groupBy("root", "b").agg(F.sort_array(F.collect_list("a")).alias("earlier")).repartition("root").sortWithinPartitions("root", "b")
+    decided = staged(per.mapInPandas(walk, f"node {kind}, new boolean"))
+    links = staged(large.select("a", "b"))
     touched = links.select(F.col("b").alias("node")).distinct()
-    state = staged(state.join(touched.withColumn("_t", F.lit(True)), "node", "left").select("node", F.when(F.col("_t").isNull(), True).alias("kept")))
+    state = nodes.select("node").distinct().join(decided, "node", "left").join(touched.withColumn("_t", F.lit(True)), "node", "left")
+    state = staged(state.select("node", F.coalesce("new", F.when(F.col("_t").isNull(), True)).alias("kept")))
     while not state.where("kept IS NULL").isEmpty():
         known = state.select(F.col("node").alias("a"), F.col("kept").alias("ka"))
         undecided = state.where("kept IS NULL").select(F.col("node").alias("b"))
         seen = links.join(undecided, "b").join(known, "a").groupBy("b").agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("falls"), F.bool_or(F.col("ka").isNull()).alias("waits"))
-        decided = seen.where("falls OR NOT waits").select(F.col("b").alias("node"), (~F.col("falls")).alias("new"))
-        state = staged(state.join(decided, "node", "left").select("node", F.coalesce("kept", "new").alias("kept")))
+        new = seen.where("falls OR NOT waits").select(F.col("b").alias("node"), (~F.col("falls")).alias("new"))
+        state = staged(state.join(new, "node", "left").select("node", F.coalesce("kept", "new").alias("kept")))
     return state
 
 
@@ -71,6 +98,63 @@ def rare_first(h: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
     return h[np.lexsort((h, counts[h % COUNTERS]))[:keep]]
 
 
+#: Bands and rows of 128 minima that serve a threshold of .8.
+BANDS, BAND_ROWS, PERMUTATIONS = 9, 13, 128
+
+
+def minhash(texts: DataFrame, size: int = 3, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
+    """`node`, `signature` (`permutations` minima over the `size`-word shingles) of `texts` (`node`, `text`).
+
+    Texts of fewer words than a shingle, null ones too, have an empty signature.
+    """
+    rng = np.random.default_rng(seed)
+    mul = rng.integers(1, 1 << 62, permutations, dtype=np.uint64) | np.uint64(1)
+    add = rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                h = _shingle_hashes(text or "", size).view(np.uint64)
+                least = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(h), 4096):
+                    x = h[at : at + 4096, None] * mul + add
+                    x ^= x >> np.uint64(31)
+                    least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+                out.append(least.view(np.int64) if len(h) else np.zeros(0, np.int64))
+            yield pdf[["node"]].assign(signature=out)
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInPandas(run, f"node {kind}, signature array<bigint>")
+
+
+def lsh_links(signatures: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """`a` < `b` of nodes that share a band with the first node of its bucket, for each band: a star, not all pairs.
+
+    Candidates, not verified: a bucket's nodes are all candidates of each other, and the star keeps them connected with
+    one row a node and band, however many copies a bucket holds.
+    """
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("h"))))
+    keyed = signatures.where(F.size("signature") > 0).select("node", band.alias("k")).select("node", "k.i", "k.h")
+    first = keyed.groupBy("i", "h").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(first, ["i", "h"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def lsh_dedup(texts: DataFrame, verified: bool = True, size: int = 3, threshold: float = 0.8) -> DataFrame:
+    """`node` and `kept`, first wins, by LSH over MinHash signatures of `size`-word shingles.
+
+    With `verified` a link counts if the exact Jaccard similarity is `threshold` or more; else every candidate counts.
+    """
+    rows = texts.select("node", "text")
+    links = lsh_links(staged(minhash(rows, size)))
+    if verified:
+        links, sets = staged(links), _shingled(rows, size)
+        sa, sb = sets.select(F.col("node").alias("a"), F.col("h").alias("sa")), sets.select(F.col("node").alias("b"), F.col("h").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        links = links.join(sa, "a").join(sb, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    return first_wins(rows.select("node"), links)
+
+
 def _shingled(texts: DataFrame, size: int) -> DataFrame:
     """`node`, `h` (sorted hashes of the distinct shingles), `n`, of the texts that have any."""
 
@@ -195,13 +279,20 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
     return near.mapInPandas(measure, f"a {kind}, b {kind}, ratio double")
 
 
-def fuzzy_dedup(records: DataFrame, record: str = "id", question: str = "question", ratio: float = 90.0) -> DataFrame:
+def fuzzy_dedup(records: DataFrame, record: str = "id", question: str = "question", ratio: float = 90.0, window: int | None = None) -> DataFrame:
     """`node` (the record's id) and `kept` after exact and fuzzy removal of repeated questions, in the order of ids.
 
     Equal questions, in lower case with single blanks, count once; only distinct ones are compared. Null questions stay.
+    With `window` a question is compared with that many distinct questions before it only, as a scan with a bounded
+    memory does; positions are counted in ranges of the id, not in one task.
     """
     text = F.trim(squeeze(F.lower(F.col(question))))
     rows = staged(records.select(F.col(record).alias("node"), text.alias("text")))
     heads = staged(rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("node").alias("node")))
-    kept = first_wins(heads.select("node"), fuzzy_pairs(heads, ratio).select("a", "b"))
+    links = fuzzy_pairs(heads, ratio).select("a", "b")
+    if window is not None:
+        at = staged(positions(heads.select("node"), "node"))
+        pa, pb = at.select(F.col("node").alias("a"), F.col("position").alias("pa")), at.select(F.col("node").alias("b"), F.col("position").alias("pb"))
+        links = links.join(pa, "a").join(pb, "b").where(F.col("pb") - F.col("pa") <= window).select("a", "b")
+    kept = first_wins(heads.select("node"), links)
     return rows.select("node", F.col("text").isNull().alias("_null")).join(kept, "node", "left").select("node", F.coalesce("kept", F.col("_null")).alias("kept"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaloom.functions.hashing import file_stem
+from qaloom.functions.metadata import metadata_columns
 from qaloom.functions.text import squeeze
 from qaloom.operators.quality import word_overlap
 
@@ -78,3 +79,15 @@ def enrich(records: DataFrame, metadata: DataFrame, version: str = "1.0") -> Dat
         F.coalesce("license", F.lit("unknown")).alias("license"), "evidence_spans", answer_style(F.col("context"), F.col("answer"), F.col("evidence_spans")).alias("answer_style"),
         *kept, F.lit("train").alias("split"), context_id(F.col("doc_id"), F.coalesce("paragraph_index", F.lit(0))).alias("context_id"), "model", "run_id", "created_at", F.lit(version).alias("enrichment_version"),
     )
+
+
+def resolved_metadata(records: DataFrame, texts: DataFrame, order: str = "id") -> DataFrame:
+    """`doc_id`, `origin` (text or context) and the bibliographic fields of every document of `records`.
+
+    They come from the document's full text in `texts` (`doc_id`, `text`, one row each) if there is one, else from the
+    context of its first record by `order`; a document's records all get the same. `records` has `doc_id`, `context`.
+    """
+    first = records.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(F.coalesce("context", F.lit("")), order).alias("context"))
+    known = first.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    x = known.select("doc_id", F.when(F.col("_text").isNotNull(), "text").otherwise("context").alias("origin"), F.coalesce("_text", "context").alias("_t"))
+    return x.select("doc_id", "origin", *[c.alias(n) for n, c in metadata_columns(F.col("_t")).items()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -140,6 +141,24 @@ def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_score(p, r) for p, r in zip(prediction, reference, strict=True)])
 
 
+def rouge_n_stemmed(n: int):
+    """F1 of stemmed word n-grams as a function of two columns."""
+
+    def grams(text: str | None) -> Counter:
+        w = [stem(x) if len(x) > 3 else x for x in re.findall("[a-z0-9]+", (text or "").lower())]
+        return Counter(zip(*(w[i:] for i in range(n)), strict=False))
+
+    @F.pandas_udf(T.DoubleType())
+    def score(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+        out = []
+        for p, r in zip(prediction, reference, strict=True):
+            a, b = grams(p), grams(r)
+            out.append(2.0 * (a & b).total() / (a.total() + b.total()) if a and b else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
 def faithful_share(answer: Column, entailed: Column) -> Column:
     """Share of the answer's sentences (cut at full stops) that `entailed`, a function of a sentence, holds; 0 for none."""
     s = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\."), lambda x: F.trim(x)), lambda x: x != "")

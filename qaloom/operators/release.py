@@ -129,8 +129,12 @@ def reconstruct(restricted_records: DataFrame, texts: DataFrame) -> DataFrame:
 
     The text is looked up by `document_hash`, else `doc_id`; `status` says found, no_document or no_paragraph.
     """
-    key = F.coalesce("document_hash", "doc_id")
-    t = texts.select(F.col("doc_id").alias("_d"), "paragraphs")
-    x = restricted_records.join(t, key == F.col("_d"), "left")
-    text = F.get("paragraphs", F.col("paragraph_index"))
-    return x.withColumns({"context": text, "status": F.when(F.col("_d").isNull(), "no_document").when(text.isNull(), "no_paragraph").otherwise("found")}).drop("_d", "paragraphs")
+    known = texts.select(F.col("doc_id").alias("_d"), F.lit(True).alias("_known")).distinct()
+    # a paragraph is joined by its document and its place: a document with very many records is spread over the tasks, and
+    # its paragraphs aren't copied to each of them
+    parts = texts.select(F.col("doc_id").alias("_d"), F.posexplode("paragraphs").alias("_at", "_text"))
+    x = restricted_records.withColumn("_key", F.coalesce("document_hash", "doc_id"))
+    x = x.join(parts, (F.col("_key") == F.col("_d")) & (F.col("paragraph_index") == F.col("_at")), "left").drop("_d", "_at")
+    x = x.join(known, F.col("_key") == F.col("_d"), "left")
+    status = F.when(F.col("_known").isNull(), "no_document").when(F.col("_text").isNull(), "no_paragraph").otherwise("found")
+    return x.withColumns({"context": F.col("_text"), "status": status}).drop("_key", "_d", "_known", "_text")

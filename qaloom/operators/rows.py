@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaloom.plans.staging import staged
+
 
 def latest_rows(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row per `key`: the one with the greatest `order`, nulls first.
@@ -29,3 +31,16 @@ def rank_within(df: DataFrame, key: str, order: list[Column], spread: Column, ra
     inside = cut.withColumn("_rank_inside", F.row_number().over(Window.partitionBy(key, "_rank_bucket").orderBy(*order)) - 1)
     joined = inside.join(before, (F.col(key).eqNullSafe(F.col("_rank_key"))) & (F.col("_rank_bucket") == F.col("_rank_b")))
     return joined.withColumn(rank, F.col("_rank_before") + F.col("_rank_inside")).drop("_rank_bucket", "_rank_key", "_rank_b", "_rank_n", "_rank_before", "_rank_inside")
+
+
+def positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """`df` with the 0-based position of each row by `order`, a unique column; no task sees more than a range of rows.
+
+    Rows are sorted in ranges; numbers inside a range are added to the sizes of the ranges before it.
+    """
+    inside = df.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    inside = inside.withColumn("_in", F.col("_id") - F.shiftleft(F.col("_part").cast("bigint"), 33))
+    inside = staged(inside.drop("_id"))  # the ranges of a sort are drawn by sampling: once, not per read
+    sizes = inside.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a range
+    return inside.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_p", "_before")

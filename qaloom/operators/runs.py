@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.operators.dedup import question_hash
+from qaloom.plans.staging import staged
 
 
 def new_questions(records: DataFrame, kept_before: DataFrame, question: str = "question") -> DataFrame:
@@ -15,10 +16,21 @@ def new_questions(records: DataFrame, kept_before: DataFrame, question: str = "q
 
 
 def breaks_circuit(attempts: DataFrame, run: str, order: str, failed: Column, most: float = 0.4, least: int = 10) -> DataFrame:
-    """`attempts` with the running share of failures of their run and whether it is over `most` after `least` attempts."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = attempts.withColumns({"attempts": F.count(F.lit(1)).over(w), "failed_share": F.avg(failed.cast("double")).over(w)})
-    return x.withColumn("broken", (F.col("attempts") >= least) & (F.col("failed_share") > most))
+    """`attempts` with the running share of failures of their run and whether it is over `most` after `least` attempts.
+
+    A run is summed up in ranges of `order`: a range adds the sums of those before it, so that one long run, even one that
+    has nearly all attempts, is spread over the tasks. Ties in `order` count in no stated order.
+    """
+    cut = attempts.withColumn("_fails", failed.cast("bigint")).repartitionByRange(run, order).withColumn("_part", F.spark_partition_id())
+    cut = staged(cut)
+    sums = cut.groupBy(F.col(run).alias("_run"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_fails").alias("_f"))
+    w = Window.partitionBy("_run").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a run and range
+    before = sums.select("_run", "_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_f").over(w), F.lit(0)).alias("_f0"))
+    inside = Window.partitionBy(run, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = cut.withColumns({"attempts": F.count(F.lit(1)).over(inside), "_done": F.sum("_fails").over(inside)})
+    x = x.join(before, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_part") == F.col("_p")))
+    x = x.withColumn("attempts", F.col("attempts") + F.col("_n0")).withColumn("failed_share", (F.col("_done") + F.col("_f0")) / F.col("attempts"))
+    return x.withColumn("broken", (F.col("attempts") >= least) & (F.col("failed_share") > most)).drop("_fails", "_part", "_run", "_p", "_n0", "_f0", "_done")
 
 
 def loss_statistics(metrics: DataFrame) -> DataFrame:
@@ -54,6 +66,33 @@ def first_available(candidates: DataFrame, key: str, priority: str) -> DataFrame
     return candidates.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(priority))).where("_r = 1").drop("_r")
 
 
+def first_of_each(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """The first `k` rows of each `key`; each task cuts its part of a hot key first (WindowGroupLimit)."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
 def skip_take(rows: DataFrame, order: list[Column], skip: int, take: int) -> DataFrame:
     """`take` rows after the first `skip` in an order."""
     return rows.orderBy(*order).offset(skip).limit(take)
+
+
+def extraction_statistics(results: DataFrame) -> DataFrame:
+    """One row on `results` (`success`, `method`, `pages`, `seconds`): files, successes, skips, failures, pages, time.
+
+    Skipped files are successful ones of the method "skipped"; pages, time and methods count for the others alone.
+    """
+    done = F.col("success") & (F.col("method") != "skipped")
+    by = [F.count_if(done & (F.col("method") == m)).alias(m) for m in ("direct", "ocr", "mixed")]
+    x = results.agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(done).alias("successful"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"), F.count_if(F.col("success") & (F.col("method") == "skipped")).alias("skipped"),
+        F.coalesce(F.sum(F.when(done, F.col("pages"))), F.lit(0)).alias("pages"), F.coalesce(F.sum(F.when(done, F.col("seconds"))), F.lit(0.0)).alias("seconds"), *by,
+    )
+    return x.withColumn("seconds_per_file", F.when(F.col("successful") > 0, F.col("seconds") / F.col("successful")).otherwise(F.lit(0.0)))
+
+
+def line_validation(lines: DataFrame, line: str = "value") -> DataFrame:
+    """One row on JSON lines: those not blank, and of them those that are objects with a question and an answer."""
+    x = lines.where(F.trim(line) != "")
+    keys = F.json_object_keys(F.trim(line))
+    valid = F.coalesce(F.array_contains(keys, "question") & F.array_contains(keys, "answer"), F.lit(False))
+    return x.agg(F.count(F.lit(1)).alias("lines"), F.count_if(valid).alias("valid"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.functions.hashing import file_stem, md5_mod
+from qaloom.operators.rows import positions
 
 
 @dataclass(frozen=True)
@@ -66,3 +67,10 @@ def leaking_documents(records: DataFrame, split: str = "split", doc: str = "doc_
     """Documents with records in more than one split, with the splits in order."""
     by = records.where(F.col(split).isNotNull() & F.col(doc).isNotNull()).select(doc, split).distinct().groupBy(doc)
     return by.agg(F.array_join(F.array_sort(F.collect_list(split)), ",").alias("splits"), F.count(F.lit(1)).alias("n")).where("n > 1").select(doc, "splits")
+
+
+def positional_split(records: DataFrame, order: str, share: float = 0.9) -> DataFrame:
+    """`records` with `split`: the first int(share * n) by `order` train, the rest val."""
+    at = positions(records, order, "_position")
+    cut = int(records.count() * share)
+    return at.withColumn("split", F.when(F.col("_position") < cut, "train").otherwise("val")).drop("_position")

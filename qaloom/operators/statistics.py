@@ -112,7 +112,10 @@ def stratified_sample(records: DataFrame, stratum: str, size: int, seed: int = 4
     rows = records.select(record, F.coalesce(stratum, F.lit("unknown")).alias("stratum")).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(record))))
     groups = rows.select("stratum").distinct().select("stratum", (F.row_number().over(Window.orderBy("stratum")) - 1).alias("at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("k"))
     quota = groups.select("stratum", (F.floor(F.lit(size) / F.col("k")) + F.when(F.col("at") < F.lit(size) % F.col("k"), 1).otherwise(0)).alias("quota"))
-    picked = rows.join(quota, "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", record))).where("r <= quota")
+    # the first `size` of each part of a stratum by the hash: no stratum is sorted whole, and no quota is beyond `size`
+    best = Window.partitionBy("stratum", "_part").orderBy("h", record)
+    few = rows.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= size)
+    picked = few.join(F.broadcast(quota), "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", record))).where("r <= quota").drop("_part", "_r")
     given = picked.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", record)))  # `size` rows
     return given.select(F.concat(F.lit("ann_"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("annotation_id"), F.col(record).alias("original_id"), "stratum")
 
@@ -125,3 +128,30 @@ def usage_statistics(records: DataFrame) -> DataFrame:
 def last_known(rows: DataFrame, column: str, partition: str, order: str) -> DataFrame:
     """`rows` with `column` carried forward over nulls."""
     return rows.withColumn(column, F.last(column, ignorenulls=True).over(Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def extremes(scored: DataFrame, score: str, name: str, k: int = 5) -> DataFrame:
+    """`end` (lowest or highest), `rank`, `name`, `score`: the `k` rows at both ends by score, equals by name."""
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(name).alias("name"), F.col(score).alias("score"))
+    ends = []
+    for end, order in (("lowest", [F.asc("score"), F.asc("name")]), ("highest", [F.desc("score"), F.asc("name")])):
+        some = rows.orderBy(*order).limit(k)
+        ends.append(some.select(F.lit(end).alias("end"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("rank"), "name", "score"))  # `k` rows
+    return ends[0].unionByName(ends[1])
+
+
+#: The types of which a gold sample has equal numbers.
+SAMPLED_TYPES = ("factual", "method", "definition", "comparison", "causal", "list", "numeric")
+
+
+def fixed_type_sample(records: DataFrame, kind: str, size: int, types: tuple[str, ...] = SAMPLED_TYPES, context: str = "context", seed: int = 42, record: str = "id") -> DataFrame:
+    """`record` and `kind`: of each of `types` max(1, size // number of types) records that have a context, by a seeded hash."""
+    per = max(1, size // len(types))
+    rows = records.where(F.col(kind).isin(*types) & (F.coalesce(context, F.lit("")) != "")).select(record, kind, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(record))).alias("_h"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy("_h", record)))  # WindowGroupLimit cuts each task's part first
+    return ranked.where(F.col("_r") <= per).drop("_h", "_r")
+
+
+def uniform_sample(records: DataFrame, size: int, record: str = "id", seed: int = 42) -> DataFrame:
+    """`size` rows drawn by a seeded hash of `record`."""
+    return records.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(record))), record).limit(size)

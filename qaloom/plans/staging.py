@@ -33,3 +33,9 @@ def staged(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables that a query writes and reads back."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -400,9 +400,23 @@ def _sql_suspicious(x: str, t: str) -> str:
     return f"({x} IS NULL OR trim({x}) = '' OR length({t}) < 8 OR length({t}) > 180 OR (length({t}) - length(replace({t}, ',', '')) >= 3 AND NOT regexp_matches({t}, '[:?]')) OR {bad})"
 
 
-@query("repaired_titles", f"WITH {REL}, n AS (SELECT id, title, {_sql_title('title')} AS t FROM rel), b AS (SELECT *, {_sql_suspicious('title', 't')} AS bad FROM n) SELECT id, CASE WHEN NOT bad THEN t END AS title, CASE WHEN NOT bad THEN 'extracted' WHEN coalesce(title, '') <> '' THEN 'unavailable_after_cleanup' END AS title_source FROM b WHERE coalesce(title, 'x') <> ''")
+def sql_repaired(source: str) -> str:
+    """Titles of `source` (`id`, `title`, `context`, `doi`) as they are repaired, with where they come from."""
+    found = "regexp_extract_all(coalesce(context, ''), '(?is)doi:\\s*\\S+\\s+(.{8,260})', 1)"
+    clean = f"list_transform({found}, lambda f: trim(replace({_sql_title('f')}, coalesce(nullif(doi, ''), chr(1)), '')))"
+    good = "length(g) BETWEEN 8 AND 180 AND NOT regexp_matches(g, '(?i)^(?:figure|table)\\s+\\d+') AND NOT regexp_matches(g, '(?i)\\b(?:doi|copyright|creative commons|downloaded from)\\b') AND length(regexp_replace(g, '[^\\p{L}]', '', 'g')) > length(g) * 0.45"
+    return f"""n_ AS (SELECT id, title, {_sql_title('title')} AS t, list_filter({clean}, lambda g: {good})[-1] AS other FROM {source}), b_ AS (SELECT *, {_sql_suspicious('title', 't')} AS bad FROM n_),
+repaired AS (SELECT id, CASE WHEN NOT bad THEN t WHEN other IS NOT NULL THEN other WHEN coalesce(title, '') <> '' THEN NULL ELSE title END AS title,
+ CASE WHEN NOT bad THEN 'extracted' WHEN other IS NOT NULL THEN 'context_footer' WHEN coalesce(title, '') <> '' THEN 'unavailable_after_cleanup' END AS title_source FROM b_)"""
+
+
+#: A fifth of the records gets a title that is none and a footer with the right one in its context.
+_FOOTED = ["CASE WHEN ascii(substr(id, 2, 1)) % 5 = 0 THEN '1 Department of Chemistry' ELSE title END AS title", "CASE WHEN ascii(substr(id, 2, 1)) % 5 = 0 THEN coalesce(context, '') || ' doi: 10.1000/x' || left(id, 4) || ' Recovered findings on sample ' || left(id, 6) ELSE context END AS context"]
+
+
+@query("repaired_titles", f"WITH {REL}, footed AS (SELECT id, doi, {', '.join(_FOOTED)} FROM rel), {sql_repaired('footed')} SELECT * FROM repaired")
 def repaired_titles(spark: SparkSession, d: str) -> DataFrame:
-    rows = rel(spark, d, ["id", "title", "context", "doi"]).where("coalesce(title, 'x') <> ''")
+    rows = rel(spark, d, ["id", "title", "context", "doi"]).selectExpr("id", "doi", *_FOOTED)
     return release.repair_titles(rows).select("id", "title", "title_source")
 
 
@@ -451,7 +465,7 @@ def redacted_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query("audit_rows")
 def audit_rows(spark: SparkSession, d: str) -> DataFrame:
-    return release.audit_rows(rel(spark, d))
+    return release.audit_rows(rel(spark, d)).withColumn("year", F.col("year").cast("double"))
 
 
 @query("reconstructed")
@@ -594,9 +608,14 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
     return _generated(spark, d).select("id", F.round(generation.token_scores(F.col("p"), F.col("r"))["f1"], 6).alias("f1"))
 
 
-@query("exact_match", f"WITH {PAIRS} SELECT avg((lower(trim(p)) = lower(trim(r)))::INT::DOUBLE) AS exact_match FROM p")
+_SAID = "CASE WHEN length(answer) % 3 = 0 THEN ' ' || answer || ' ' ELSE answer || '!' END"
+
+
+@query("exact_match", f"WITH {REL} SELECT round(avg((lower(trim(coalesce({_SAID}, ''))) = lower(trim(coalesce(answer, ''))))::INT::DOUBLE), 9) AS exact_match FROM rel")
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(spark, d).agg(F.avg(generation.exact_match(F.col("p"), F.col("r"))).alias("exact_match"))
+    """Answers against themselves with blanks around them, and against such with a sign more."""
+    rows = rel(spark, d, ["id", "answer"]).select(F.expr(_SAID).alias("p"), F.col("answer").alias("r"))
+    return rows.agg(F.round(F.avg(generation.exact_match(F.col("p"), F.col("r"))), 9).alias("exact_match"))
 
 
 def _sql_rouge(n: int) -> str:
@@ -697,10 +716,13 @@ def adjudication(spark: SparkSession, d: str) -> DataFrame:
     return agreement.adjudicated(r.select("doc_id", F.col("a").alias("label")), r.select("doc_id", F.col("b").alias("label")), "doc_id", "label")
 
 
-@query("annotation_summary", f"WITH {REL} SELECT count(answer_style) FILTER (WHERE answer_style IN ('extractive', 'abstractive')) AS n, count(*) FILTER (WHERE answer_style = 'extractive') AS yes, 0::BIGINT AS partial, count(*) FILTER (WHERE answer_style = 'abstractive') AS no, count(*) FILTER (WHERE answer_style = 'extractive') / nullif(count(*) FILTER (WHERE answer_style IN ('extractive', 'abstractive')), 0)::DOUBLE AS accuracy FROM rel")
+_LABEL = "CASE WHEN answer_style = 'extractive' AND length(answer) % 3 = 0 THEN 'Partially, yes' WHEN answer_style = 'extractive' AND length(answer) % 3 = 1 THEN 'Partially' WHEN answer_style = 'extractive' THEN 'Yes, it is' WHEN answer_style = 'abstractive' THEN ' NO ' END"
+
+
+@query("annotation_summary", f"""WITH {REL}, l AS (SELECT lower({_LABEL}) AS l FROM rel), k AS (SELECT CASE WHEN contains(l, 'yes') THEN 'yes' WHEN contains(l, 'partial') THEN 'partial' WHEN contains(l, 'no') THEN 'no' END AS k FROM l)
+SELECT count(k) AS n, count(*) FILTER (WHERE k = 'yes') AS yes, count(*) FILTER (WHERE k = 'partial') AS partial, count(*) FILTER (WHERE k = 'no') AS no, round((count(*) FILTER (WHERE k = 'yes') + 0.5::DOUBLE * count(*) FILTER (WHERE k = 'partial')) / nullif(count(k), 0)::DOUBLE, 9) AS accuracy FROM k""")
 def annotation_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = rel(spark, d, ["id", "answer_style"]).select(F.when(F.col("answer_style") == "extractive", "Yes, it is").when(F.col("answer_style") == "abstractive", " NO ").alias("label"))
-    return agreement.summary(rows, "label")
+    return agreement.summary(rel(spark, d, ["id", "answer_style", "answer"]).select(F.expr(_LABEL).alias("label")), "label").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("stratified_sample", f"""WITH {REL}, h AS (SELECT id, coalesce(question_type, 'unknown') AS stratum, md5('42:' || id) AS h FROM rel), g AS (SELECT stratum, row_number() OVER (ORDER BY stratum) - 1 AS pos, count(*) OVER () AS k FROM (SELECT DISTINCT stratum FROM h)),
@@ -853,7 +875,7 @@ def retrieval_gain(spark: SparkSession, d: str) -> DataFrame:
     q, c, rels = _all_answers(spark, d)
     short = q.withColumn("text", F.array_join(F.slice(tx.words(F.col("text")), 1, 6), " "))
     means = [retrieval.long_metrics(retrieval.mean_metrics(retrieval.per_query_metrics(x, retrieval.top_k(retrieval.bm25_best(x, c, 10), 10), rels))) for x in (short, q)]
-    return retrieval.compare(*means)
+    return retrieval.compare(*means).select("metric", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "gain", "gain_percent")])
 
 
 @query("median_lengths", f"WITH {QA} SELECT model, count(DISTINCT file_name) AS files, quantile_cont(length(answer), 0.5)::DOUBLE AS median_answer FROM qa GROUP BY model")

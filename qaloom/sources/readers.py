@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,7 +31,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     the order of files.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    there = [p for p in listed if "://" in p or any(c in p for c in "*?[") or Path(p).exists()]
+    there = [p for p in listed if re.match(r"[a-z][a-z0-9+.-]*:/", p) or any(c in p for c in "*?[") or Path(p).exists()]
     if not there:
         return spark.createDataFrame([], schema)
     reader = spark.read.option("recursiveFileLookup", "true").option("encoding", "UTF-8")
@@ -69,20 +70,14 @@ def paragraphs(text: Column) -> Column:
     Paragraphs stand between blank lines; their lines are stripped and joined by blanks, and a paragraph that doesn't
     end in a full stop, question or exclamation mark gets a full stop.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\r?\n")
-    start = F.struct(F.array().cast("array<struct<line:int,text:string>>").alias("out"), F.lit(True).alias("gap"), F.lit(0).alias("i"))
-
-    def step(s: Column, line: Column) -> Column:
-        t, i = squeeze_ends(line), s["i"] + 1
-        last = F.element_at(s["out"], F.lit(-1))
-        grown = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.struct(last["line"].alias("line"), F.concat_ws(" ", last["text"], t).alias("text"))))
-        fresh = F.concat(s["out"], F.array(F.struct(i.alias("line"), t.alias("text"))))
-        out = F.when(t == "", s["out"]).when(s["gap"], fresh).otherwise(grown)
-        return F.struct(out.alias("out"), (t == "").alias("gap"), i.alias("i"))
-
-    found = F.aggregate(lines, start, step)["out"]
+    # a blank line ends a paragraph; single line ends within one don't: cut once at blank lines, never line by line
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\x01"), squeeze_ends(x)))
+    marked = F.concat(F.lit("\n"), F.array_join(F.filter(lines, lambda x: F.lit(True)), "\n"), F.lit("\n"))
+    parts = F.split(F.regexp_replace(marked, r"\n(?:\d+\x01\n)+", "\n\x02\n"), r"\n?\x02\n")
+    found = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit("\n"))), lambda p: p != "")
     closed = lambda t: F.when(t.rlike("[.?!]$"), t).otherwise(F.concat(t, F.lit(".")))
-    return F.transform(found, lambda p, k: F.struct((k + 1).alias("paragraph_index"), p["line"].alias("line_number"), closed(p["text"]).alias("text")))
+    plain = lambda p: F.regexp_replace(F.regexp_replace(p, r"\n\d+\x01", " "), r"^\d+\x01", "")
+    return F.transform(found, lambda p, k: F.struct((k + 1).alias("paragraph_index"), F.regexp_extract(p, r"^(\d+)\x01", 1).cast("int").alias("line_number"), closed(plain(p)).alias("text")))
 
 
 def squeeze_ends(line: Column) -> Column:
@@ -114,6 +109,16 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"))
 
 
+def two_columns(blocks: DataFrame, width: float = 612.0) -> DataFrame:
+    """Text of each page read by columns: blocks that start left of the middle from top to bottom, then the others.
+
+    `blocks` has `doc_id, page, x0, y0, block_no, text`; `width` is a page's width in points.
+    """
+    at = F.struct((F.col("x0") >= width / 2).alias("right"), "y0", "block_no", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    rows = blocks.where("block_type = 0").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(at)).alias("b"))  # the blocks of one page
+    return rows.select("doc_id", "page", F.array_join(F.transform("b", lambda x: x["t"]), " ").alias("text"))
+
+
 def body_text(text: Column) -> Column:
     """From the first abstract or introduction to the references, if they come in that order; else whole."""
     low = F.lower(text)
@@ -122,8 +127,11 @@ def body_text(text: Column) -> Column:
     return F.when(start < end, F.substr(text, start, end - start)).otherwise(text)
 
 
+BRACES = str.maketrans("", "", "{}")
+
+
 def parse_bibtex_text(text: str | None) -> list[tuple[str, str, dict[str, str]]]:
-    """(type, key, fields) of the entries of a BibTeX text; values in braces of any depth, in quotes or bare."""
+    """(type, key, fields) of the entries of a BibTeX text; values in braces of any depth, in quotes or bare, without braces inside."""
     out, i, text = [], 0, text or ""
 
     def value(at: int, stop: int) -> tuple[str, int]:
@@ -168,7 +176,7 @@ def parse_bibtex_text(text: str | None) -> list[tuple[str, str, dict[str, str]]]
             if pos >= stop:
                 break
             got, pos = value(pos, stop)
-            fields[name] = " ".join(got.split())
+            fields[name] = " ".join(got.translate(BRACES).split())
         out.append((kind, text[brace + 1 : comma].strip(), fields))
         i = end
     return out

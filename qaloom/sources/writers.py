@@ -12,6 +12,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition: li
     (writer.partitionBy(*partition) if partition else writer).json(path)
 
 
+def without_empty(df: DataFrame) -> DataFrame:
+    """`df` with null for what counts as nothing: empty texts, zeros, false, empty arrays; a JSON sink then drops the fields."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        empty = c == "" if kind == "string" else F.size(c) == 0 if kind.startswith(("array", "map")) else c == 0 if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") else ~c if kind == "boolean" else F.lit(False)
+        out.append(F.when(~empty, c).alias(name))
+    return df.select(*out)
+
+
 def write_release(records: DataFrame, path: str) -> None:
     """Released and restricted records by tier and split, and the audit rows."""
     from qaloom.operators.release import audit_rows, released, restricted
@@ -64,6 +74,13 @@ def schema_catalogue(df: DataFrame) -> list[dict[str, str]]:
     return [{"name": n, "dataType": kinds.get(t, "Text")} for n, t in df.dtypes]
 
 
+def latex_table(df: DataFrame, digits: int = 4) -> str:
+    """A collected summary as a LaTeX table; for results of a few rows."""
+    show = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
+    lines = [r"\begin{tabular}{" + "l" + "r" * (len(df.columns) - 1) + "}", r"\toprule", " & ".join(map(show, df.columns)) + r" \\", r"\midrule"]
+    return "\n".join([*lines, *(" & ".join(map(show, r)) + r" \\" for r in df.collect()), r"\bottomrule", r"\end{tabular}"])
+
+
 def markdown_table(df: DataFrame, digits: int = 4) -> str:
     """A collected summary as a table; for results of a few rows."""
     rows = df.collect()

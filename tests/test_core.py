@@ -257,7 +257,7 @@ def test_readers(spark, tmp_path):
     assert sorted(rows(readers.explode_paragraphs(df))) == [(1, 1, 1, "First line second."), (1, 2, 5, "Next.")]
     bib = '@article{k1, title = {A {Nested} title}, year = 2020, author = "X and Y"}\n@misc{k2, note={n}}'
     entries = readers.parse_bibtex_text(bib)
-    assert [(e[0], e[1]) for e in entries] == [("article", "k1"), ("misc", "k2")] and entries[0][2] == {"title": "A {Nested} title", "year": "2020", "author": "X and Y"}
+    assert [(e[0], e[1]) for e in entries] == [("article", "k1"), ("misc", "k2")] and entries[0][2] == {"title": "A Nested title", "year": "2020", "author": "X and Y"}
     log = ["Training LLM: m1", "{'loss': 1.5, 'epoch': 0.1}", " 10%|#| 100/1000 [00:01<", "{'loss': 1.0}", "Training LLM: m2", "{'loss': 2.0}"]
     steps = readers.parse_training_log(spark.createDataFrame([("l", i, x) for i, x in enumerate(log)], "log string, line_no int, value string")).where("metric = 'loss'")
     assert sorted(rows(steps.select("model", "step", "value"))) == [("m1", 50, 1.5), ("m1", 100, 1.0), ("m2", 500, 2.0)]

@@ -6,7 +6,10 @@ import pytest
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-SOME = ["split_stats", "quality_metrics", "question_types", "clean_answer", "license_tiers", "bm25_metrics", "dense_topk", "fleiss_kappa", "contamination_ngram", "doc_metadata_fields"]
+import qaloom.queries_pipeline  # noqa: E402, F401
+
+SOME = ["repaired_titles", "reconstructed", "paragraphs", "jsonl_round_trip", "stream_consolidated", "greedy_near_dedup", "metadata_resolved", "metadata_lookup", "mean_kappa", "circuit_breaker", "training_log"]
+SOME += ["split_stats", "quality_metrics", "question_types", "clean_answer", "license_tiers", "bm25_metrics", "dense_topk", "fleiss_kappa", "contamination_ngram", "doc_metadata_fields"]
 
 
 def _rows(names, got):
