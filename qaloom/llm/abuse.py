@@ -17,26 +17,29 @@ from qaloom.llm.label_model import LabelModel, fit_label_model, fit_linear
 from qaloom.plans.staging import staged
 from qaloom.sources.tables import table
 
-#: Words by what they are evidence of. A voter looks at which kinds stand in a segment together.
+#: Words by what they are evidence of, as in common lists of offensive words and of groups that are attacked,
+#: and general words of science. A voter looks at which kinds stand in a segment together.
 WORDS = {
-    "insult": "arsehole asshole bastard bitch bitches cockroach coward cretin cunt dickhead dimwit dumbass fool fucker halfwit idiot idiots imbecile jackass jerk liar loser losers lowlife maggot moron morons motherfucker parasite pig pigs prick scum scumbag slut swine thief tosser twat vermin wanker whore wimp",
-    "belittling": "brainless braindead clueless contemptible despicable dirty disgusting filthy fucking goddamn idiotic incompetent lying miserable moronic pathetic retarded revolting rotten sick spineless stupid ugly useless vile worthless",
-    "profane": "arse ass bollocks bullshit crap damn fuck fucked fucker fucking goddamn hell motherfucking piss shit shitty",
-    "explicit": "blowjob boner clit cock cocks cum cumming cunt dick dildo erection escort fuck fucked handjob hentai horny incest masturbate masturbating milf milfs naked nude nudes orgasm orgy porn porno pussy sexting slut strippers tits titties vagina xxx",
-    "erotic": "bare begged busty cam came chat clips deeper erotic fetish handcuffed hot kinky lonely lust moaned naked nipples nude pictures pushed scream slid strip stripped strippers thighs tongue trembled uncensored undress undressed wet wives women",
-    "group": "africans arabs asians atheists black blacks catholics christians cripples disabled faith folk foreigners gays gypsies hindus homosexuals immigrants jews lesbians mexicans migrants muslims negroes oldermarkers people queers refugees roma transsexuals vaskerians women",
-    "slur": "cripples dyke faggot faggots gook kike nigger niggers paki raghead retard retards spic tranny wetback",
-    "dehumanising": "animals apes breed cattle cockroaches dirt disease filth filthy germs infest insects liars lice maggots monkeys parasites pest plague rats scum spread subhuman subhumans thieves vermin",
-    "excluding": "belong breed born close decent expel expelled forbidden hire hires kept lock rid science send touch",
-    "you": "you your yours yourself yourselves u ur author reviewer somebody someone nobody everyone me",
-    "violent": "acid beaten beat bleed bones break burn burned butcher choke cut drown euthanasia fingers gun hang hanged hurt kill killed knife knock murder pain piece punch put run shoot shot slit stab strangle strangled suffer thrown whipped window",
-    "wishing": "ashamed basement born day deserve down drown end euthanasia favour face find grave holiday home hope left miss mother park parents reason walk wake worthless",
-    "ever": "ever once",
-    "meeting": "catch find meet see",
-    "ordering": "crawl fuck get go hang listen lost rock rub shut stick",
-    "lab": "abuse analysed bands breast cells column comb compare content curve dimorphism drugs epithelium evident fluid gave glands grown hormones leaks mass mice milk mole patients phase proof pump rat receptor residues resolution sampled samples seminal source spectra swabs tissue tumours vaginal volume volunteers wild",
-    "foreign": "abschaum ausländerpack arschloch connard crétin cretino salope cabrón cabrona cállate culo dreckiger dreckige dreckskerl drecksau enculé étrangers extranjeros fils fotze foutre geile gilipollas gueule hijo hure hurensohn idiota imbécil imbécile joder kanaken maldito maldita maricón maul merde mierda miststück negros nutte palos pendejo plaga pute putain puta schlampe scheiße scheiß seins schwein sale tetas titten ungeziefer vermine verpiss vollidiot vollidioten widerlicher zorra",
-    "foreign_you": "cállate deine dich dein dir du eres halt idioten je tu te toi va vete wie montre enséñame zeig",
+    "insult": "arsehole asshole assholes bastard bastards bimbo bitch bitches blockhead bonehead buffoon coward cowards cretin cunt dickhead dimwit dirtbag douche douchebag dumbass dumbo dunce fatso fool fools fucker fuckers fuckface fuckwit halfwit harlot idiot idiots imbecile imbeciles jackass jerk jerkoff knobhead lamer liar liars loser losers lowlife moron morons motherfucker nincompoop numbskull nutcase parasites pervert pigs pissant prick scum scumbag shitbag shithead simpleton skank slut sluts swine thug tosser twat twerp twit wanker weirdo whore whores wimp wretch",
+    "belittling": "abject braindead brainless clueless contemptible crappy deranged despicable disgusting dumb filthy fucking goddamn hideous idiotic incompetent inept insane lousy lying mindless miserable moronic nasty nauseating obnoxious pathetic pitiful repulsive retarded revolting ridiculous rotten scummy shameless shitty sleazy slimy smelly spineless stinking stupid ugly useless vile worthless wretched",
+    "profane": "arse arsed ass bollocks bugger bullshit crap dammit damn damned fuck fucked fuckin fucking goddamn hell motherfucking piss pissed shit shite shitting shitty wtf",
+    "explicit": "bdsm blowjob bondage boner boobs bukkake clit clitoris cock cocks cum cumming cumshot cunnilingus deepthroat dick dicks dildo fellatio fisting foreplay gangbang handjob hentai horny incest masturbate masturbated masturbating masturbation milf milfs naked nude nudes orgasm orgasms orgy porn porno pornography pussy sexting sexy sodomy strapon stripper strippers striptease threesome tits titties titty twerk vibrator whore xxx",
+    "erotic": "aroused arousing bikini booty busty butt buttocks caress caressed erotic fetish fondle groin groped kinky kissed licked lingerie lust lustful moan moaned moaning naked naughty nipple nipples nude nudity panties pleasure raunchy seduce seduced sensual skirt spank steamy strip stripped submissive suck sucked temptress thigh thighs topless uncensored underwear undress undressed voyeur webcam",
+    "group": "africans arabs asians atheists blacks buddhists catholics chinese christians disabled foreigners gays gypsies hindus hispanics homosexuals immigrants indians indigenous islam jews lesbians mexicans migrants minorities mormons muslims natives negroes pakistanis palestinians poles protestants queers refugees roma russians sikhs transgender transsexuals turks ukrainians women",
+    "kin": "folk folks kind people tribe",
+    "slur": "beaner chink coon cripples dago dyke dykes fag faggot faggots fags gook gooks gypo honky jap kaffir kike kikes kraut nigga nigger niggers paki pakis raghead ragheads retard retards shemale spic spics tranny trannies wetback wetbacks wog wop",
+    "dehumanising": "animals ape apes beasts breed cattle cockroach cockroaches degenerate disease dung filth filthy germs infect infest infested leeches liars lice maggots monkeys parasites pest pests plague rats savages scum slime subhuman subhumans swarm thieves vermin",
+    "excluding": "banish banished barred belong cleanse cleansing deport deported eliminate eradicate expel expelled exterminate exterminated forbidden gassed kicked lock locked purge rid segregate send sterilise unwelcome",
+    "you": "you your yours yourself yourselves u ur",
+    "someone": "everyone he him me nobody she somebody someone they",
+    "violent": "attack beat beaten bleed brutal burn burned butcher choke decapitate destroy drown execute gun hang hanged hurt kill killed kills knife lynch maim massacre murder murdered punch rape raped shoot shot skull slap slaughter slit smash stab stabbed strangle strangled suffer throat torture tortured whipped",
+    "wishing": "deserve deserves die dies hope kill rot suffer",
+    "ever": "ever soon tomorrow tonight",
+    "meeting": "catch coming find meet see visit waiting",
+    "ordering": "crawl die fuck get go piss quit rot shove shut",
+    "lab": "abundance abundant accuracy accurate acid acquired adjusted aliquot amount analyse analysed analyses analysis analytical applied assay average axis bands batch biomarker calculated calibration carcinoma caused cell cells changed chemical chromatography clearance clinical coefficient cohort collected column compare compared comparison component components composition compound concentration conditions confirmed contained content control correlation culture curve data decreased degradation derived detected detection detector determined deviation diagnosis diluted dissolved distribution dose doses drug drugs effect effects efficiency elevated elution enrichment enzyme epithelium equation error estimated evaluated evidence experiment exposure expression extract extraction figure filtered flow fluid formation formula fraction fractions frequency function gene genes gland gradient heated hormone identified increased incubated inhibitor injected injection instrument intensity interval ion isolates isotope kinase labelled labelling laboratory lesions levels ligand limit linear literature lower mass matrix mean measure measured measurement mechanism median membrane metabolism method methods mice mixture mobile model molecular mouse mutant negative nitrogen normal observed optimised organic parameter particles patients peak peptide percent performed phase phases plasma positive precision prepared pressure procedure profile protein proteins purified quantified random range rate rates ratio reaction reactions reagent receptor recorded recoveries recovery reduced regression removed replicate replicates reported residue resolution result results retention sampled samples sampling scale scan scored secretion sensitivity separated separation sequence serum signal significant site soil solution solutions solvent source species specimen spectra spectrometry spectrum spike spiked stability stable standard statistical stored strain structure studied study subjects substrate surface swab swabs synthesis table temperature test tested theory threshold tissue tissues total toxicity treated treatment tumour tumours unit urine validation value values variance variation velocity volume volunteers washed water weight yield",
+    "foreign": "abschaum arschloch ausländerpack bastardo batard bâtard bite bollera cabron cabrona cabrones cabrón cagna caralho cazzo cojones coglione connard connasse connards coño couille couilles crétin cretino culero culo dreck dreckige dreckiger dreckig drecksau dreckskerl dummkopf enculé enculés estúpido estúpida fick ficken ficker figa filho fils foda folle fotze foutre gilipollas gueule hijo hijueputa huren hure hurensohn idiota idiote idioten imbécil imbécile joder kanaken kanake kacke kurwa madre maldita maldito malparido marica maricón maricones merda merde mierda miststück missgeburt muschi neger negro negros nique nutte nutten pédé pendejo pendejos pétasse polla porra puta putain putas pute puto sale salaud salope salopard sau scheiss scheiß scheiße schlampe schlampen schwanz schwein schweine schwuchtel spast spasti sudaca stronzo tetas titten trou troia ungeziefer vadia vagabunda vermine verpiss vollidiot vollidioten vollpfosten wichser zorra zorras блядь сука хуй пизда ебать мразь урод",
+    "foreign_you": "cállate deine deinem deinen deiner dich dein dir du eres euch eure ihr halt je sei te ti tes tu toi ton tus usted va verpisst vete wie vous vos",
 }
 #: Letters of other scripts that look like Latin ones, after lower case.
 LOOKALIKES = str.maketrans("аеорсухіѕјԁһкмтνοαερτυ", "aeopcyxisjdhkmtvoaeptu", "​‌‍⁠﻿­")
@@ -53,18 +56,23 @@ LETTER = END << 1  # a letter by itself
 TOKEN = re.compile(r"[^\W_]+(?:[*@#$%]+[^\W_]*)*|[.!?\n]+")
 #: Voters by name: kinds of words that stand together, or don't, and the vote. Those of -1 hold a segment to be harmless.
 VOTERS: tuple[tuple[str, tuple[str, ...], int], ...] = (
-    ("insulted_you", ("insult", "you"), 1), ("belittled_insult", ("insult", "belittling"), 1), ("profane_you", ("profane", "you"), 1), ("profane_insult", ("profane", "insult"), 1),
-    ("group_dehumanised", ("group", "dehumanising"), 1), ("group_excluded", ("group", "excluding"), 1), ("slur", ("slur",), 1),
-    ("explicit", ("explicit", "no lab"), 1), ("explicit_you", ("explicit", "you"), 1), ("explicit_erotic", ("explicit", "erotic", "no lab"), 1), ("erotic_you", ("erotic", "you"), 1),
-    ("violent_you", ("violent", "you"), 1), ("wishing_you", ("wishing", "you"), 1), ("violent_wish", ("violent", "wishing"), 1), ("menaced_you", ("ever", "meeting", "you", "no lab"), 1), ("belittled_you", ("belittling", "you"), 1), ("ordered_insult", ("ordering", "insult"), 1),
+    ("insulted_you", ("insult", "you"), 1), ("insulted_someone", ("insult", "someone", "no lab"), 1), ("belittled_insult", ("insult", "belittling"), 1), ("profane_you", ("profane", "you"), 1), ("profane_insult", ("profane", "insult"), 1),
+    ("group_dehumanised", ("group", "dehumanising"), 1), ("group_excluded", ("group", "excluding"), 1), ("kin_dehumanised", ("kin", "dehumanising"), 1), ("kin_excluded", ("kin", "excluding"), 1), ("belittled_group", ("belittling", "group"), 1), ("slur", ("slur",), 1),
+    ("explicit", ("explicit", "no lab"), 1), ("explicit_you", ("explicit", "you"), 1), ("explicit_erotic", ("explicit", "erotic"), 1), ("erotic_you", ("erotic", "you"), 1),
+    ("violent_you", ("violent", "you"), 1), ("wishing_you", ("wishing", "you"), 1), ("violent_wish", ("violent", "wishing", "no lab"), 1), ("menaced_you", ("ever", "meeting", "you"), 1), ("belittled_you", ("belittling", "you"), 1), ("ordered_insult", ("ordering", "insult"), 1), ("ordered_profane", ("ordering", "profane"), 1), ("ordered_violence", ("ordering", "violent", "you"), 1),
     ("foreign", ("foreign",), 1), ("foreign_you", ("foreign", "foreign_you"), 1), ("hidden", ("hidden",), 1),
-    ("lab", ("lab",), -1), ("numbers", ("digit",), -1), ("explicit_in_lab", ("explicit", "lab", "no you"), -1), ("profane_in_lab", ("profane", "lab", "no you"), -1), ("insult_in_lab", ("insult", "lab", "no you"), -1),
+    ("lab", ("lab",), -1), ("numbers", ("digit",), -1), ("explicit_in_lab", ("explicit", "lab", "no you"), -1), ("profane_in_lab", ("profane", "lab", "no you"), -1), ("insult_in_lab", ("insult", "lab", "no you"), -1), ("violent_in_lab", ("violent", "lab", "no you"), -1),
 )
 
 
 @dataclass(frozen=True)
 class AbuseConfig:
-    """`sample` bounds the labelled segments of each of three kinds on which the classifier is fitted."""
+    """`sample` bounds the labelled segments of each of three kinds on which the classifier is fitted.
+
+    `spare`: of the segments without a telling vote one in so many, drawn by document and place, is offered to it; all
+    segments count for the label model, and all are scored. `window` words make a segment of a long sentence, features
+    fall on `buckets` places, `threshold` is the score from which a document counts, `prior` the share first assumed.
+    """
 
     sample: int = 15_000
     window: int = 12

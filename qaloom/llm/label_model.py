@@ -76,8 +76,8 @@ def fit_label_model(counts: dict[int, int], polarity: list[int], prior: float =
     n = np.array([counts[int(p)] for p in patterns], dtype=np.float64)
     votes = (patterns[:, None] >> np.arange(len(polarity))) & 1
     pol = np.array(polarity)
-    balance = votes[:, pol > 0].sum(axis=1) * 2.5 - votes[:, pol < 0].sum(axis=1) * 1.5
-    start = 1 / (1 + np.exp(-(balance - 3.5)))
+    balance = votes[:, pol > 0].sum(axis=1) - votes[:, pol < 0].sum(axis=1)  # the majority of votes, every vote alike
+    start = 1 / (1 + np.exp(-2.0 * balance))
     start = np.where(votes[:, pol > 0].any(axis=1), start, prior / 50)
     single = [(v,) for v in range(len(polarity))]
     _, q, _ = _em(patterns, n, single, polarity, start, 8)
