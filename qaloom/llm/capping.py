@@ -32,7 +32,7 @@ def cap_of_share(sizes: DataFrame, share: float) -> DataFrame:
 
 
 def cap_contributors(
-    records: DataFrame, contributor: Column, record_id: Column, score: Column, max_records: int | None = None, max_share: float | None = None, lowest: float = 0.0, highest: float = 1.0, salts: int = 32
+    records: DataFrame, contributor: Column, record_id: Column, score: Column, max_records: int | None = None, max_share: float | None = None, lowest: float = 0.0, highest: float = 1.0, salts: int = 32, steps: int = 1000
 ) -> DataFrame:
     """`id`, `contributor`, `score` and `kept` of each record: of each contributor the best `max_records` are kept.
 
@@ -42,7 +42,9 @@ def cap_contributors(
     empty table. Further columns are neither read nor returned, so their names can't clash.
 
     A dominant contributor is cut into `salts` parts by the hash of the id. A record beyond the cap in its part is
-    beyond it overall; the others, at most salts * cap of a contributor, are ranked again.
+    beyond it overall; with `max_records` the others, at most salts * cap of a contributor, are ranked again. A cap by
+    share may be large: there a contributor's records are counted in `steps` ranges of the score, ranges are kept or left
+    out whole by these counts, and only the records of the one range in which the cap falls are ranked.
     """
     if (max_records is None) == (max_share is None):
         raise ValueError("give either max_records or max_share")
@@ -50,17 +52,28 @@ def cap_contributors(
     rows = records.select(record_id.alias("id"), contributor.alias("contributor"), score.cast("double").alias("score"), F.when(valid, score.cast("double")).alias("_good"))
     known = rows.where(F.col("contributor").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     best_first = [F.col("_good").desc_nulls_last(), F.col("id").asc()]
-    first = known.withColumn("_r", F.row_number().over(Window.partitionBy("contributor", "_salt").orderBy(*best_first)))
+    out = [F.col(c) for c in ("id", "contributor", "score")]
+    unknown = rows.where(F.col("contributor").isNull()).select(*out, F.lit(True).alias("kept"))
     if max_share is not None:
         cap = cap_of_share(known.groupBy("contributor").agg(F.count(F.lit(1)).alias("n")), max_share)
-        first = first.crossJoin(F.broadcast(cap))  # one row
-    else:
-        first = first.withColumn("cap", F.lit(max_records))
+        width = (F.lit(highest) - F.lit(lowest)) / steps
+        step = F.coalesce(F.floor((F.lit(highest) - F.col("_good")) / width).cast("int"), F.lit(steps + 1))  # best range first, null scores last
+        ranked = known.withColumn("_step", step)
+        sizes = ranked.groupBy(F.col("contributor").alias("_c"), F.col("_step").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_c").orderBy("_s")) - F.col("_n"))  # at most steps + 2 rows a contributor
+        placed = ranked.join(before, (F.col("contributor") == F.col("_c")) & (F.col("_step") == F.col("_s"))).crossJoin(F.broadcast(cap))  # one row
+        # whole ranges are in or out; only the range in which the cap falls is ranked, salted as above
+        clear = placed.where((F.col("_before") + F.col("_n") <= F.col("cap")) | (F.col("_before") >= F.col("cap"))).select(*out, (F.col("_before") < F.col("cap")).alias("kept"))
+        split = placed.where((F.col("_before") + F.col("_n") > F.col("cap")) & (F.col("_before") < F.col("cap"))).withColumn("_left", F.col("cap") - F.col("_before"))
+        first = split.withColumn("_r", F.row_number().over(Window.partitionBy("contributor", "_salt").orderBy(*best_first)))
+        again = first.where(F.col("_r") <= F.col("_left")).withColumn("_r", F.row_number().over(Window.partitionBy("contributor").orderBy(*best_first)))
+        decided = again.select(*out, (F.col("_r") <= F.col("_left")).alias("kept"))
+        beyond = first.where(F.col("_r") > F.col("_left")).select(*out, F.lit(False).alias("kept"))
+        return clear.unionByName(decided).unionByName(beyond).unionByName(unknown)
+    first = known.withColumn("_r", F.row_number().over(Window.partitionBy("contributor", "_salt").orderBy(*best_first))).withColumn("cap", F.lit(max_records))
     again = first.where(F.col("_r") <= F.col("cap")).withColumn("_r", F.row_number().over(Window.partitionBy("contributor").orderBy(*best_first)))
-    out = [F.col(c) for c in ("id", "contributor", "score")]
     decided = again.select(*out, (F.col("_r") <= F.col("cap")).alias("kept"))
     beyond = first.where(F.col("_r") > F.col("cap")).select(*out, F.lit(False).alias("kept"))
-    unknown = rows.where(F.col("contributor").isNull()).select(*out, F.lit(True).alias("kept"))
     return decided.unionByName(beyond).unionByName(unknown)
 
 
@@ -91,3 +104,16 @@ WITH latest AS (
 )
 SELECT id FROM ranked WHERE r > 20
 """
+
+P2_SHARE_CAPPED_SQL = r"""
+WITH latest AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS d FROM qa_release WHERE id IS NOT NULL
+), keyed AS (
+  SELECT coalesce(nullif(lower(trim(regexp_replace(trim(doc_id), '(?i)\.pdf$', ''))), ''),
+                  nullif(lower(trim(regexp_replace(regexp_extract(trim(file_name), '([^/\\]*)$', 1), '(?i)\.(txt|pdf|json|jsonl|xml|html)$', ''))), '')) AS doc
+  FROM latest WHERE d = 1
+), sizes AS (SELECT doc, count(*) AS n FROM keyed GROUP BY doc
+), tried AS (SELECT c, (SELECT sum(least(n, c)) FROM sizes WHERE doc IS NOT NULL) AS remains FROM (SELECT unnest(generate_series(1, (SELECT max(n) FROM sizes WHERE doc IS NOT NULL))) AS c)
+), cap AS (SELECT coalesce(max(c) FILTER (WHERE c <= 0.01::DOUBLE * remains + 1e-9), 1) AS cap FROM tried)
+SELECT doc AS contributor, CASE WHEN doc IS NULL THEN n ELSE least(n, cap) END AS kept, CASE WHEN doc IS NULL THEN 0 ELSE greatest(n - cap, 0) END AS left_out FROM sizes, cap
+"""

@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "p2_found": capping.P2_FOUND_SQL,
+    "p2_share_capped": capping.P2_SHARE_CAPPED_SQL,
     "p6_found": chunking.P6_FOUND_SQL,
     "p7_found": overlap.P7_FOUND_SQL,
     "p7_by_split_source": overlap.P7_BY_SPLIT_SOURCE_SQL,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-#: The longest bitset. Of a target beyond it all but half of this is first taken from every size in proportion.
+import math
+
+#: The bitset tried first. Of a target beyond it all but half of this is first taken from every size in proportion.
 MAX_BITS = 1 << 17
+#: Bits kept over all sizes at most, a quarter of a gigabyte: how far bitsets may be widened.
+MAX_CELLS = 1 << 31
 
 
 def _prefill(counts: dict[int, int], target: int, bits: int) -> tuple[dict[int, int], int]:
@@ -25,9 +29,13 @@ def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, m
     """How many items of each size to take so that their total is closest to `target` (below it on a tie).
 
     `counts` has the number of items of each positive size. With `at_most` no total over the target counts. Of a target
-    over half of all, the items left out are chosen instead, so that a target near to nothing or to all is small. Exact
-    if the smaller part is up to `max_bits`; of a larger one most is first taken from all sizes in proportion. Sizes of
-    0 and less are never taken; nothing to choose from, or a target of 0 or less, gives an empty choice.
+    over half of all, the items left out are chosen instead, so that a target near to nothing or to all is small.
+
+    Every total is a multiple of the sizes' greatest common divisor: a total as near as such a multiple can be is the
+    closest there is. A choice whose smaller part is up to `max_bits` is exact anyway. Of a larger one most is first taken
+    from all sizes in proportion; if its total isn't proved to be closest, the bitset is widened eightfold and the choice
+    made again, up to the exact one or to MAX_CELLS. `residual` tells what is left. Sizes of 0 and less are never taken;
+    nothing to choose from, or a target of 0 or less, gives an empty choice.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     if target <= 0 or not counts:
@@ -35,10 +43,31 @@ def closest_subset(counts: dict[int, int], target: int, at_most: bool = False, m
     total = sum(s * n for s, n in counts.items())
     if total <= target:
         return dict(counts)
-    if target * 2 <= total:
-        return _closest(counts, target, True, not at_most, True, max_bits)
-    out = _closest(counts, total - target, not at_most, True, False, max_bits)
-    return {s: n - out.get(s, 0) for s, n in counts.items() if n > out.get(s, 0)}
+    small, bits, best, miss = min(target, total - target), max_bits, {}, None
+    while True:
+        if target * 2 <= total:
+            out = _closest(counts, target, True, not at_most, True, bits)
+        else:
+            rest = _closest(counts, total - target, not at_most, True, False, bits)
+            out = {s: n - rest.get(s, 0) for s, n in counts.items() if n > rest.get(s, 0)}
+        got = sum(s * n for s, n in out.items())
+        if miss is None or (abs(got - target), got) < miss:
+            best, miss = out, (abs(got - target), got)
+        if small <= bits or miss[0] <= residual_bound(counts, target, at_most) or bits * 8 * len(counts) > MAX_CELLS:
+            return best
+        bits *= 8
+
+
+def residual_bound(counts: dict[int, int], target: int, at_most: bool = False) -> int:
+    """How far from `target` the closest total is at least: sums of sizes are multiples of their greatest common divisor."""
+    g = math.gcd(*counts) if counts else 1
+    over = target % g
+    return over if at_most else min(over, g - over)
+
+
+def residual(counts: dict[int, int], chosen: dict[int, int], target: int) -> int:
+    """What a choice lacks to `target`; less than 0 if it is over it."""
+    return target - sum(s * n for s, n in chosen.items())
 
 
 def _closest(counts: dict[int, int], target: int, below: bool, above: bool, prefer_below: bool, max_bits: int) -> dict[int, int]:

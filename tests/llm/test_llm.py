@@ -473,6 +473,27 @@ def test_templates_show_refusals_without_words_of_declining(spark):
     assert dict(rows(pair_defects.pair_defects(df).select("id", "defect"))) == {f"r{i}": "refusal" for i in range(4)}
 
 
+@pytest.mark.parametrize("at_most", [True, False])
+def test_closest_subset_far_beyond_the_first_bitset(at_most):
+    rng = random.Random(8)
+    for _ in range(12):
+        counts = {rng.randrange(20_000, 90_000): rng.randrange(1, 6) for _ in range(4)}
+        total = sum(s * n for s, n in counts.items())
+        target = rng.randrange(150_000, max(150_001, total))
+        sums = {0}
+        for s, n in counts.items():
+            sums = {t + k * s for t in sums for k in range(n + 1)}
+        want = min(abs(t - target) for t in sums if not at_most or t <= target)
+        got = closest_subset(counts, target, at_most=at_most)
+        assert abs(sum(s * n for s, n in got.items()) - target) == want and all(n <= counts[s] for s, n in got.items())
+    many = {rng.randrange(1, 4_000): rng.randrange(1, 2_000) for _ in range(900)}
+    target = sum(s * n for s, n in many.items()) // 3
+    got = closest_subset(many, target, at_most=at_most)
+    assert target > 10 * (1 << 17) and sum(s * n for s, n in got.items()) == target
+    even = {2 * s: n for s, n in many.items()}
+    assert sum(s * n for s, n in closest_subset(even, 2 * target + 1, at_most=at_most).items()) == 2 * target
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
