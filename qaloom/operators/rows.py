@@ -19,6 +19,21 @@ def latest_rows(df: DataFrame, key: str, order: str, columns: list[str]) -> Data
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def latest_once(df: DataFrame, key: str, order: str, columns: list[str], broadcast_rows: int = 500_000) -> DataFrame:
+    """`latest_rows` for wide rows of which few keys repeat: only rows of repeated keys are shuffled.
+
+    Keys are counted by themselves first. If up to `broadcast_rows` repeat they are broadcast, so all other rows stay where
+    they are read; if more do, all rows are shuffled as in `latest_rows`. The result is the same.
+    """
+    repeated = staged(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    if repeated.count() > broadcast_rows:
+        return latest_rows(df, key, order, columns)
+    few = F.broadcast(repeated)
+    once = df.where(F.col(key).isNotNull()).join(few, key, "left_anti")
+    rest = [c for c in columns if c != key]
+    return once.select(key, *rest).unionByName(latest_rows(df.join(few, key, "left_semi"), key, order, columns))
+
+
 def rank_within(df: DataFrame, key: str, order: list[Column], spread: Column, rank: str, buckets: int = 64) -> DataFrame:
     """A rank from 0 inside each `key`, ordered by the bucket of `spread` and then by `order`.
 

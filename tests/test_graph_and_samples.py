@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from qaloom.functions import text as tx
 from qaloom.operators import dedup, evidence, release, runs, statistics
 from qaloom.operators.graph import link_components
-from qaloom.operators.rows import positions
+from qaloom.operators.rows import latest_once, latest_rows, positions
 from qaloom.sources import readers, writers
 
 
@@ -68,6 +68,13 @@ def test_window_of_fuzzy_removal(spark):
     assert dict(rows(dedup.fuzzy_dedup(df, window=2)))["d"]
 
 
+def test_latest_deliveries_both_ways(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "x"), ("c", 1, "x"), ("c", None, "y"), (None, 1, "x")], "id string, at int, t string")
+    want = sorted(rows(latest_rows(df, "id", "at", ["id", "at", "t"])))
+    assert want == [("a", 2, "z"), ("b", None, "x"), ("c", 1, "x")]
+    assert sorted(rows(latest_once(df, "id", "at", ["id", "at", "t"]))) == sorted(rows(latest_once(df, "id", "at", ["id", "at", "t"], broadcast_rows=0))) == want
+
+
 def test_positions_count_over_ranges(spark):
     got = rows(positions(spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1009).alias("k")), "k").orderBy("k"))
     assert [p for _, p in got] == list(range(1000)) and [k for k, _ in got] == sorted(k for k, _ in got)
