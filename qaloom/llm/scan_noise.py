@@ -79,7 +79,8 @@ def raw_words(text: str) -> list[str]:
 class Words(dict):
     """Words that may hold misread letters, in lower case, of a word as it stands; kept while a task runs.
 
-    Codes, numbers and sequences of capitals have none. A word with a hyphen counts whole and by parts.
+    Codes, numbers, and abbreviations of less than five capitals, or with small letters, have none. A word with a hyphen
+    counts whole and by parts.
     """
 
     def __missing__(self, raw: str) -> tuple[str, ...]:
@@ -90,7 +91,8 @@ class Words(dict):
             w = w.rstrip("!")
         out: tuple[str, ...] = ()
         letters = sum(c.isalpha() for c in w)
-        if len(w) >= 3 and w[0] not in "-‐" and letters >= 2 and letters * 2 >= len(w) and sum(c.isupper() for c in w) <= 1:
+        capitals = sum(c.isupper() for c in w)
+        if len(w) >= 3 and w[0] not in "-‐" and letters >= 2 and letters * 2 >= len(w) and (capitals <= 1 or capitals == letters >= 5):
             w = w.lower()
             out = (w, *(p for p in w.split("-") if len(p) >= 3 and not p.isdigit())) if "-" in w else (w,)
         self[raw] = out
@@ -103,7 +105,7 @@ def page_number_lines(lines: list[str]) -> list[int]:
     kept = [i for i, x in enumerate(lines) if x.strip()]
     for k, i in enumerate(kept):
         line = lines[i].strip()
-        if len(line) > 24 or not PAGE_NUMBER.match(line):
+        if not PAGE_NUMBER.match(line):
             continue
         if BARE.match(line):
             near = [lines[kept[j]].strip() for j in (k - 1, k + 1) if 0 <= j < len(kept)]
@@ -132,7 +134,7 @@ def line_candidates(lines: list[str]) -> list[tuple[int, str, bool, int]]:
     kept = [i for i, x in enumerate(lines) if x.strip()]
     for k, i in enumerate(kept):
         line = lines[i].strip()
-        if not 3 <= len(line) <= 90 or "\t" in line or line[0].islower() or NUMERIC.match(line) or PAGE_NUMBER.match(line) or re.match(r"^\d+\.\s|^[-•*]\s", line):
+        if len(line) < 3 or "\t" in line or line[0].islower() or NUMERIC.match(line) or PAGE_NUMBER.match(line) or re.match(r"^\d+\.\s|^[-•*]\s", line):
             continue
         before = lines[kept[k - 1]].strip() if k else ""
         after = lines[kept[k + 1]].strip() if k + 1 < len(kept) else ""
@@ -210,7 +212,7 @@ def misreadings(words: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame
     ).toPandas()
     total = words.agg(F.sum("n")).first()[0] or 0
     frequent = words.where((F.col("n") >= max(cfg.frequent, total * cfg.frequent_share)) & F.col("word").rlike(r"^[\p{L}-]+$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"), anagram(F.col("word")).alias("h"))
-    rare = words.where((F.length("word") >= cfg.least_length) & (F.length("word") <= 40) & ~F.col("word").contains("-"))
+    rare = words.where((F.length("word") >= cfg.least_length) & ~F.col("word").contains("-"))
     one = F.array(*[F.when(F.col("word").contains(s), F.struct(F.lit(int(d)).cast("bigint").alias("delta"), F.lit(int(c)).alias("cost"), F.lit(1).alias("steps"), F.lit(int(k)).alias("k"))) for k, s, d, c in zip(pairs.k, pairs.seen, pairs.delta, pairs.cost, strict=True)])
     held = rare.select("word", "n", anagram(F.col("word")).alias("hw"), F.filter(one, lambda x: x.isNotNull()).alias("one"))
     odd = F.col("word").rlike(r"[^\p{L}-]")
@@ -342,7 +344,7 @@ def repair(text: str, drop: set[int], divided: set[tuple[str, str]], wrong: dict
         fixed = wrong.get(w.lower())
         if fixed is None:
             return w
-        return fixed.capitalize() if w[0].isupper() and not w.isupper() else fixed
+        return fixed.upper() if w.isupper() and len(w) > 1 else fixed.capitalize() if w[0].isupper() else fixed
 
     if wrong:
         body = re.sub("|".join(rf"(?<!\w){re.escape(w)}(?!\w)" for w in sorted(wrong, key=len, reverse=True)), right, body, flags=re.I)
