@@ -25,7 +25,11 @@ DANGLING = tuple("a an the of with from by to for at into and or der die das den
 
 @dataclass(frozen=True)
 class TruncationConfig:
-    """`often`: occurrences from which a sequence counts as frequent; `ends` and `almost_never`: ends it may have, and their share."""
+    """`often`: occurrences from which a sequence counts as frequent; `ends` and `almost_never`: ends it may have, and their share.
+
+    The marks of an end are looked for in the last `tail` characters, or the last four words where these are longer: a
+    bracket behind a full stop, or a table's row, that is longer isn't known as one.
+    """
 
     often: int = 10
     ends: int = 3
@@ -62,12 +66,20 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     t = rows.withColumn("h", F.transform(_tokens(F.col("text")), lambda w: F.xxhash64("field", w))).withColumn("n", F.size("h"))
     inside = t.where("n > 3").selectExpr("inline(transform(sequence(2, n - 2), i -> named_struct('a', xxhash64(h[i - 2], h[i - 1], h[i]), 'b', xxhash64(h[i - 2], h[i - 1]))))")
     inside = staged(inside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("inside")))
-    # what a text ends with stands in its last characters; all that follows looks at them
-    tail = rows.select("id", "field", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"), F.right("text", F.lit(cfg.tail)).alias("text"), F.left("text", F.lit(8)).alias("head"))
-    w = tail.withColumn("w", _tokens(F.col("text"))).withColumn("n", F.size("w"))
+    # what a text ends with stands in its last characters and its last words; its last line and first words are looked at
+    # whole, by patterns that stop after a few words. `n` counts the words, with the two start marks, up to `phrase_words` + 3
+    last = F.substring_index("text", " ", -4)
+    end = F.when(F.length(last) > cfg.tail, last).otherwise(F.right("text", F.lit(cfg.tail)))
+    words = F.size(F.split(F.regexp_extract("text", rf"^(?:\S+\s+){{0,{cfg.phrase_words + 2}}}\S*", 0), r"\s+"))
+    last_line = F.substring_index("text", "\n", -1)
+    tail = rows.select(
+        "id", "field", F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars"), end.alias("text"), (words + 2).alias("n"), F.col("text").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
+        (last_line.rlike(r"^\s*(?:\S+\s+){5}\S") | last_line.rlike(r"^\p{Ll}")).alias("prose"), (F.length(last_line) <= cfg.tail).alias("short_line"),
+    )
+    w = tail.withColumn("w", _tokens(F.col("text"))).withColumn("m", F.size("w"))
     last_line = F.substring_index("text", "\n", -1)
-    close = F.right("text", F.lit(160))
-    h1, h2, h3 = (f"xxhash64(field, w[n - {k}])" for k in (3, 2, 1))
+    close = F.col("text")
+    h1, h2, h3 = (f"xxhash64(field, w[m - {k}])" for k in (3, 2, 1))
     ends = w.select(
         "id", "field", "hash", "n", "n_chars",
         F.expr(f"xxhash64({h1}, {h2}, {h3})").alias("a"), F.expr(f"xxhash64({h1}, {h2})").alias("b"),
@@ -75,10 +87,9 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
         close.rlike(END).alias("closed"),
         (F.element_at("w", -1).rlike(r"(?:^|[(=])0\.$") | close.rlike(ABBREVIATIONS)).alias("open_stop"),
         close.rlike(ABBREVIATIONS).alias("abbreviated"),
-        ((F.size(F.split(last_line, r"\s+")) >= 6) | last_line.rlike(r"^\p{Ll}")).alias("prose"),
+        "prose", "sentence",
         F.element_at("w", -1).rlike(r"^\p{Ll}+$").alias("plain"),
-        (F.substring_index("text", "\n", -2).rlike(ROW) | last_line.rlike("(?i)" + RUNNING)).alias("row"),
-        F.col("head").rlike(r"^[\"'“(]*\p{Lu}").alias("sentence"),
+        (F.substring_index("text", "\n", -2).rlike(ROW) | F.col("short_line") & last_line.rlike("(?i)" + RUNNING)).alias("row"),
         F.element_at("w", -1).isin(*DANGLING).alias("dangling"),
     )
     ends = staged(ends)
