@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.operators.rows import latest_rows
+from qaloom.operators.rows import latest_once, latest_rows
 from qaloom.sources.tables import table
 
 #: White space and zero-width characters.
@@ -41,8 +41,8 @@ def source_of(source_pdf: Column) -> Column:
 
 
 def qa_raw(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    """qa_raw, each record once (its latest delivery)."""
-    return latest_rows(table(spark, sf_dir, "qa_raw"), "id", "loaded_at", columns)
+    """qa_raw, each record once (its latest delivery); only texts of records delivered again are shuffled."""
+    return latest_once(table(spark, sf_dir, "qa_raw"), "id", "loaded_at", columns)
 
 
 def qa_release(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
