@@ -144,6 +144,18 @@ def line_candidates(lines: list[str]) -> list[tuple[int, str, bool, int]]:
     return out
 
 
+def divided_by_lines(lines: list[str], between: set[int]) -> list[re.Match]:
+    """Divisions with lines that may be running lines or page numbers between their parts, as at the turn of a page."""
+    found = []
+    for i, line in enumerate(lines[:-1]):
+        if i + 1 not in between or not line.rstrip().endswith((*DIVIDERS, *HYPHENS)):
+            continue
+        after = next((k for k in range(i + 1, len(lines)) if lines[k].strip() and k not in between), None)
+        if after is not None:
+            found += [m for m in DIVIDED.finditer(f"{line.rstrip()}\n{lines[after].lstrip()}") if "\n" in m[0] and not own_hyphen(m)]
+    return found
+
+
 def _observations(records: DataFrame) -> DataFrame:
     """What the contexts show: `word` counts (summed per task), `line` and `page` candidates and `hyphen` divisions."""
     schema = "kind string, id string, a string, b string, sign string, line int, n bigint, breaks boolean, edge boolean"
@@ -168,9 +180,11 @@ def _observations(records: DataFrame) -> DataFrame:
                 if "\n" not in text:
                     continue
                 lines = text.split("\n")
-                rows += [("page", key, lines[i].strip(), None, None, i, 1, False, False) for i in page_number_lines(lines)]
-                rows += [("line", key, m, None, None, i, titled, breaks, False) for i, m, breaks, titled in line_candidates(lines)]
+                pages, running = page_number_lines(lines), line_candidates(lines)
+                rows += [("page", key, lines[i].strip(), None, None, i, 1, False, False) for i in pages]
+                rows += [("line", key, m, None, None, i, titled, breaks, False) for i, m, breaks, titled in running]
                 rows += [("hyphen", key, m[1].lower(), m[3].lower(), m[2], 0, 1, False, False) for m in DIVIDED.finditer(text) if not own_hyphen(m)]
+                rows += [("hyphen", key, m[1].lower(), m[3].lower(), m[2], 0, 1, False, True) for m in divided_by_lines(lines, {*pages, *(i for i, *_ in running)})]
             yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "sign", "line", "n", "breaks", "edge"])
             if len(raw) > 400_000:
                 yield words()
@@ -296,7 +310,7 @@ def find_noise(records: DataFrame, blocks: DataFrame, titles: DataFrame, cfg: No
     hot = frozenset(r["word"] for r in words.where(F.col("n") > max(total * cfg.hot_share, 2)).join(wrong, F.col("word") == F.col("wrong"), "left_anti").select("word").toLocalIterator())
     misread = _rare_tokens(texts, hot).join(wrong, "wrong").select("id", "wrong", "right")
 
-    hyphens = seen.where("kind = 'hyphen'").select("id", F.col("a").alias("left"), F.col("b").alias("right"), "sign")
+    hyphens = seen.where("kind = 'hyphen'").select("id", F.col("a").alias("left"), F.col("b").alias("right"), "sign", "edge")
     parts = hyphens.select("left", "right").distinct()
     own = F.concat_ws("-", F.col("left"), F.col("right"))
     joined = F.concat("left", "right")
@@ -306,8 +320,10 @@ def find_noise(records: DataFrame, blocks: DataFrame, titles: DataFrame, cfg: No
         asked = asked.join(count.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
     n = {name: F.coalesce(f"n_{name}", F.lit(0)) for name in ("own", "joined", "left", "right")}
     # unseen both ways: two words of the corpus keep their hyphen, anything else was one word
-    judged = asked.select("left", "right", F.when(n["own"] + n["joined"] > 0, n["joined"] >= n["own"]).otherwise((n["left"] < 3) | (n["right"] < 3) & ~F.col("right").endswith("-")).alias("one_word"))
-    hyphens = hyphens.join(judged, ["left", "right"]).select("id", "left", "right", "sign", (F.col("sign").isin(*DIVIDERS) | F.col("one_word")).alias("divided"))
+    judged = asked.select("left", "right", (n["joined"] > 0).alias("known"), F.when(n["own"] + n["joined"] > 0, n["joined"] >= n["own"]).otherwise((n["left"] < 3) | (n["right"] < 3) & ~F.col("right").endswith("-")).alias("one_word"))
+    # with lines between its parts a division must give a word of the corpus: the lines may belong to the text
+    divided = (F.col("sign").isin(*DIVIDERS) | F.col("one_word")) & (F.col("known") | ~F.col("edge"))
+    hyphens = hyphens.join(judged, ["left", "right"]).select("id", "left", "right", "sign", divided.alias("divided"))
 
     lines = seen.where("kind = 'line'").select("id", "a", "line", "breaks", (F.col("n") / 100.0).alias("n"))
     by = lines.groupBy("a").agg(F.count_distinct("id").alias("records"), F.avg(F.col("breaks").cast("double")).alias("broken"), F.avg("n").alias("titled"))
@@ -367,10 +383,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_noise(*_inputs(spark, sf_dir)).rows()
 
 
-def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contexts with noise and what becomes of them."""
-    records, blocks, titles = _inputs(spark, sf_dir)
-    noise = find_noise(records, blocks, titles)
+def repaired(records: DataFrame, blocks: DataFrame, titles: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:
+    """`id`, `context`, `repaired` of the `records` with noise; inputs as for `find_noise`. Texts without noise don't come."""
+    noise = find_noise(records, blocks, titles, cfg)
     drop = noise.lines.groupBy("id").agg(F.collect_set("line").alias("drop"))
     divided = noise.hyphens.where("divided").groupBy("id").agg(F.collect_set(F.struct("left", "right")).alias("divided"))
     wrong = noise.words.groupBy("id").agg(F.collect_set(F.struct("wrong", "right")).alias("wrong"))
@@ -385,3 +400,8 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"id": pdf["id"], "context": pdf["text"], "repaired": out})
 
     return work.mapInPandas(run, "id string, context string, repaired string")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts with noise and what becomes of them."""
+    return repaired(*_inputs(spark, sf_dir))

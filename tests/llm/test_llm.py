@@ -322,6 +322,44 @@ def test_page_numbers():
     assert found("it was\n467\nfound there") == ["467"] and found("a\nxxvii\nb") == ["xxvii"] and found("a\nmild\nb") == [] and found("1. First\n2. Second") == []
 
 
+def test_scanned_paragraphs_come_out_as_written(spark):
+    rng = random.Random(9)
+    vocabulary = "samples honey measured column gradient protein fraction injection calibration recovery spectrum detector evaporated filtered concentration residue temperature laboratory extraction interference".split()
+    fillers = "the of in with after before under for and during".split()
+    clean, scanned = {}, []
+    for i in range(300):
+        words = [rng.choice(vocabulary if k % 2 else fillers) for k in range(60)]
+        text = " ".join(words).capitalize() + "."
+        clean[f"r{i:03d}"] = text
+        if i % 3:
+            scanned.append((f"r{i:03d}", text, "n"))
+            continue
+        lines, line = [], ""
+        for w in text.split():
+            if len(line) + len(w) > 58:
+                cut = len(w) // 2
+                if len(w) >= 10 and rng.random() < 0.5:  # divided at the line's end
+                    lines.append(f"{line} {w[:cut]}-")
+                    line = w[cut:]
+                else:
+                    lines.append(line)
+                    line = w
+            else:
+                line = f"{line} {w}".strip()
+        lines.append(line)
+        if i % 2:
+            lines[2] = lines[2].replace("m", "rn", 1)
+        lines.insert(3, str(100 + i))
+        lines.insert(3, "Journal of Residue Studies, vol. 7")
+        scanned.append((f"r{i:03d}", "\n".join(lines), "n"))
+    blocks = spark.createDataFrame([], "doc_id string, page int, y0 double, y1 double, text string")
+    got = {k: (c, r) for k, c, r in rows(scan_noise.repaired(spark.createDataFrame(scanned, "id string, text string, node string"), blocks, spark.createDataFrame([], "node string, title string")))}
+    noisy = {k for k, t, _ in scanned if "\n" in t}
+    assert set(got) == noisy
+    same = sum(got[k][1] == clean[k] for k in noisy)
+    assert same >= 0.9 * len(noisy), [sorted(set(got[k][1].split()) ^ set(clean[k].split())) for k in sorted(noisy) if got[k][1] != clean[k]]
+
+
 def test_repair():
     text = "The sam-\nples were kept in a time-\nof-flight instrument and\n\nJournal · Vol. 3\n\nwbich gave 5 ions.\n12"
     lines = text.split("\n")
