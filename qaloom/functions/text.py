@@ -107,8 +107,8 @@ def share_in(part: Column, whole: Column, empty: float) -> Column:
 
 
 def letters_share(text: Column, kinds: str) -> Column:
-    """Share of the characters that belong to the class `kinds`."""
-    return F.length(F.regexp_replace(text, f"[^{kinds}]", "")) / F.length(text)
+    """Share of the characters that belong to the class `kinds`; null for an empty text."""
+    return F.length(F.regexp_replace(text, f"[^{kinds}]", "")) / F.nullif(F.length(text), F.lit(0))
 
 
 #: Letters and signs that have no decomposition, and what is written for them.

@@ -74,38 +74,61 @@ def features(records: DataFrame) -> DataFrame:
     }).drop("_aw", "_cw", "_qw", "_an", "_cn")
 
 
+#: From which overlaps on an answer gets a label; the first label of which any rule holds counts.
+RULES = {
+    "answer_correct": {
+        "Yes": (
+            "run > 0.35", "token_overlap > 0.40", "ngram_overlap > 0.20 AND number_overlap >= 0.5", "phrase_overlap > 0.30 AND number_overlap >= 0.5",
+            "short AND technical_overlap >= 0.5 AND number_overlap >= 0.5", "short AND run > 0.0 AND number_overlap >= 0.5", "score >= 0.82 AND token_overlap > 0.25 AND number_overlap >= 0.3",
+        ),
+        "Partial": (
+            "token_overlap > 0.18", "ngram_overlap > 0.08", "phrase_overlap > 0.10", "number_overlap > 0.4 AND token_overlap > 0.10", "short AND technical_overlap > 0.3", "short AND number_overlap > 0.3",
+            "score >= 0.80 AND token_overlap > 0.10",
+        ),
+    },
+    "evidence_support": {
+        "Yes": ("run > 0.30", "token_overlap > 0.38", "phrase_overlap > 0.25 AND number_overlap >= 0.5", "short AND technical_overlap >= 0.5", "short AND run > 0.0"),
+        "Partial": ("token_overlap > 0.10", "phrase_overlap > 0.10", "number_overlap > 0.4 AND token_overlap > 0.08", "short AND technical_overlap > 0.2", "short AND number_overlap > 0.3"),
+    },
+}
+#: Quality of evidence by its letters and digits, its length and what the question shares with it; first match.
+EVIDENCE = (
+    ("garbled OR length < 50", "Missing"), ("digits > 0.25 AND letters < 0.40", "Weak"), ("letters > 0.45 AND question_overlap > 0.25 AND length > 100", "Good"), ("question_overlap > 0.35 AND length > 120", "Good"),
+    ("question_overlap < 0.10 OR letters < 0.35 OR length < 80", "Weak"), ("question_overlap > 0.15", "Good"),
+)
+#: How a question begins.
+ASKING = "^(?:what|how|why|which|when|where|who|is|are|was|were|do|does|did|can|could)"
+OPENER = r"^(?:What|How|Why|Which|When|Where|Who|Is|Are|Was|Were|Do|Does|Did|Can|Could|According)\b\s*"
+
+
+def _by_rules(kind: str, hedged: Column) -> Column:
+    label = F.when(F.col("garbled"), "No").when(F.col("hedging"), hedged)
+    for name, rules in RULES[kind].items():
+        label = label.when(F.expr(" OR ".join(f"({r})" for r in rules)), name)
+    return label.otherwise("No")
+
+
 def annotate(records: DataFrame) -> DataFrame:
     """`answer_correct`, `evidence_support`, `evidence_quality`, `question_clarity` and `notes` of records with a `quality_score`.
 
-    Null texts count as empty, a null score as 0. Missing evidence makes a correct answer partial, a wrong answer makes
+    Null texts count as empty, a null score as 0. Labels go by RULES and EVIDENCE; an answer that hedges is correct where
+    it shares a tenth of its words, and supported. Missing evidence makes a correct answer partial, a wrong answer makes
     full support partial.
     """
-    x = features(records)
-    t, n, p, g, r, k = (F.col(c) for c in ("token_overlap", "number_overlap", "phrase_overlap", "ngram_overlap", "run", "technical_overlap"))
-    short, score = F.col("short"), F.coalesce(F.col("quality_score"), F.lit(0.0))
-    yes = (r > 0.35) | ((g > 0.20) & (n >= 0.5)) | ((t > 0.45) & (n >= 0.5)) | ((p > 0.30) & (n >= 0.5)) | (t > 0.40) | (short & (k >= 0.5) & (n >= 0.5)) | (short & (r > 0.0) & (n >= 0.5)) | ((score >= 0.82) & (t > 0.25) & (n >= 0.3))
-    partly = ((t > 0.20) & (n >= 0.3)) | (g > 0.08) | (t > 0.18) | (p > 0.10) | ((n > 0.4) & (t > 0.10)) | (short & ((k > 0.3) | (n > 0.3))) | ((score >= 0.80) & (t > 0.10))
-    correct = F.when(F.col("garbled"), "No").when(F.col("hedging"), F.when(t > 0.10, "Yes").otherwise("Partial")).when(yes, "Yes").when(partly, "Partial").otherwise("No")
-    backed = (r > 0.30) | ((p > 0.25) & (n >= 0.5)) | ((t > 0.40) & (n >= 0.4)) | (t > 0.38) | (short & ((k >= 0.5) | (r > 0.0)))
-    partly_backed = (t > 0.18) | (p > 0.10) | ((n > 0.4) & (t > 0.08)) | (short & ((k > 0.2) | (n > 0.3))) | (t > 0.10)
-    support = F.when(F.col("garbled"), "No").when(F.col("hedging"), "Yes").when(backed, "Yes").when(partly_backed, "Partial").otherwise("No")
-    c, length, qo = F.col("_c"), F.length("_c"), F.col("question_overlap")
-    alpha, digits = letters_share(c, r"\p{L}"), letters_share(c, r"\p{N}")
-    quality = (
-        F.when(F.col("garbled") | (length < 50), "Missing").when((digits > 0.25) & (alpha < 0.40), "Weak").when((alpha > 0.45) & (qo > 0.25) & (length > 100), "Good")
-        .when((qo > 0.35) & (length > 120), "Good").when((qo < 0.10) | (alpha < 0.35) | (length < 80), "Weak").when(qo > 0.15, "Good").otherwise("Weak")
-    )
-    q, low = F.col("_q"), F.lower("_q")
-    size = F.size(words(q))
-    asks = low.rlike("^(?:what|how|why|which|when|where|who|is|are|was|were|do|does|did|can|could)") | F.contains(low, F.lit("according to")) | F.trim(q).endswith("?")
-    body = F.regexp_replace(q, r"^(?:What|How|Why|Which|When|Where|Who|Is|Are|Was|Were|Do|Does|Did|Can|Could|According)\b\s*", "")
-    entity = body.rlike(r"[A-Z][a-z]+|[A-Z]{2,}|\d")
-    clarity = (
-        F.when(size < 4, "Bad").when(is_non_english(q), F.when(size >= 5, "Good").otherwise("Ambiguous")).when(~asks, "Bad")
-        .when((_any(q, VAGUE) | _any(q, SELF)) & ~entity, "Ambiguous").when(size >= 5, "Good").otherwise("Ambiguous")
-    )
-    notes = F.concat_ws("; ", F.when(F.col("garbled"), "garbled_context"), F.when(is_non_english(q) | is_non_english(F.col("_a")), "non_english"), F.when(F.col("hedging"), "hedging_answer"), F.when(length < 100, "short_context"))
-    y = x.withColumns({"answer_correct": correct, "evidence_support": support, "evidence_quality": quality, "question_clarity": clarity, "notes": notes})
-    return y.withColumn("answer_correct", F.when((F.col("evidence_quality") == "Missing") & (F.col("answer_correct") == "Yes"), "Partial").otherwise(F.col("answer_correct"))).withColumn(
-        "evidence_support", F.when((F.col("answer_correct") == "No") & (F.col("evidence_support") == "Yes"), "Partial").otherwise(F.col("evidence_support"))
-    ).drop("_q", "_a", "_c")
+    x = features(records).withColumns({"score": F.coalesce("quality_score", F.lit(0.0)), "length": F.length("_c"), "letters": letters_share(F.col("_c"), r"\p{L}"), "digits": letters_share(F.col("_c"), r"\p{N}")})
+    quality = F.lit("Weak")
+    for rule, label in reversed(EVIDENCE):
+        quality = F.when(F.expr(rule), label).otherwise(quality)
+    q, size = F.col("_q"), F.size(words(F.col("_q")))
+    foreign, named = is_non_english(q), F.regexp_replace(q, OPENER, "").rlike(r"[A-Z][a-z]+|[A-Z]{2,}|\d")
+    asks = F.lower(q).rlike(ASKING) | F.contains(F.lower(q), F.lit("according to")) | F.trim(q).endswith("?")
+    vague = (_any(q, VAGUE) | _any(q, SELF)) & ~named & ~foreign
+    clarity = F.when((size < 4) | ~asks & ~foreign, "Bad").when(vague | (size < 5), "Ambiguous").otherwise("Good")
+    listed = {"garbled_context": F.col("garbled"), "non_english": foreign | is_non_english(F.col("_a")), "hedging_answer": F.col("hedging"), "short_context": F.col("length") < 100}
+    y = x.withColumns({
+        "answer_correct": _by_rules("answer_correct", F.when(F.col("token_overlap") > 0.10, "Yes").otherwise("Partial")), "evidence_support": _by_rules("evidence_support", F.lit("Yes")),
+        "evidence_quality": quality, "question_clarity": clarity, "notes": F.concat_ws("; ", *[F.when(c, n) for n, c in listed.items()]),
+    })
+    y = y.withColumn("answer_correct", F.when((F.col("evidence_quality") == "Missing") & (F.col("answer_correct") == "Yes"), "Partial").otherwise(F.col("answer_correct")))
+    y = y.withColumn("evidence_support", F.when((F.col("answer_correct") == "No") & (F.col("evidence_support") == "Yes"), "Partial").otherwise(F.col("evidence_support")))
+    return y.drop("_q", "_a", "_c", "score", "length", "letters", "digits")

@@ -522,22 +522,6 @@ sc AS (SELECT qid, cid, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * ln / avg
 rk AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cid) AS rank FROM sc)"""
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT qid, cid, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    q, c, _ = _answers(spark, d)
-    return retrieval.top_k(retrieval.bm25_scores(q, c), 10).select("qid", "cid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query("bm25_metrics", f"""WITH {BM25}, f AS (SELECT t.id, min(CASE WHEN rk.cid = t.id THEN rank END) AS r FROM t LEFT JOIN rk ON rk.qid = t.id GROUP BY t.id)
-SELECT count(*) AS queries, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10,
- round(avg(CASE WHEN r <= 10 THEN 1.0 / log2(r + 1) ELSE 0 END), 6) AS ndcg_10, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS map_10 FROM f""")
-def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
-    q, c, rels = _answers(spark, d)
-    ranked = retrieval.top_k(retrieval.bm25_scores(q, c), 10)
-    m = retrieval.mean_metrics(retrieval.per_query_metrics(q, ranked, rels))
-    return m.select("queries", *[F.round(x, 6).alias(x) for x in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10", "map_10")])
-
-
 def _all_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stated queries, the questions of test records, against all answers."""
     q, _, rels = _answers(spark, d)
@@ -547,16 +531,18 @@ def _all_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 BM25_ALL = BM25.replace("AS w FROM t)", "AS w FROM qa WHERE answer IS NOT NULL)", 1)
 
 
-@query("bm25_topk_all", f"WITH {BM25_ALL} SELECT qid, cid, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
-def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+@query("bm25_topk", f"WITH {BM25_ALL} SELECT qid, cid, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best answers of all records for the questions of test records."""
     q, c, _ = _all_answers(spark, d)
     return retrieval.top_k(retrieval.bm25_best(q, c, 10), 10).select("qid", "cid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("bm25_metrics_all", ORACLE_SQL["bm25_metrics"].replace(BM25, BM25_ALL, 1))
-def bm25_metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    """`bm25_metrics` against all answers."""
+@query("bm25_metrics", f"""WITH {BM25_ALL}, f AS (SELECT t.id, min(CASE WHEN rk.cid = t.id THEN rank END) AS r FROM t LEFT JOIN rk ON rk.qid = t.id GROUP BY t.id)
+SELECT count(*) AS queries, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10,
+ round(avg(CASE WHEN r <= 10 THEN 1.0 / log2(r + 1) ELSE 0 END), 6) AS ndcg_10, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END), 6) AS map_10 FROM f""")
+def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the questions of test records against the answers of all records."""
     q, c, rels = _all_answers(spark, d)
     m = retrieval.mean_metrics(retrieval.per_query_metrics(q, retrieval.top_k(retrieval.bm25_best(q, c, 10), 10), rels))
     return m.select("queries", *[F.round(x, 6).alias(x) for x in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10", "map_10")])

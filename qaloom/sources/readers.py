@@ -27,9 +27,11 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     """One JSON object a line, from files or folders of any depth; blank lines are skipped.
 
     `on_error`: "skip" leaves out lines that are no JSON of the schema, "keep" gives them in `_corrupt_record`, "fail"
-    stops. Folders that don't exist are left out; none at all gives an empty table. `limit` takes the first lines in
-    the order of files.
+    stops. Folders that don't exist are left out; none at all gives an empty table. `limit` takes the first `limit` lines of
+    the files in the order of their names, bad and blank ones counted, and what of them is a record.
     """
+    if limit is not None:
+        return _first_lines(spark, paths, schema, on_error, limit)
     listed = [paths] if isinstance(paths, str) else list(paths)
     there = [p for p in listed if re.match(r"[a-z][a-z0-9+.-]*:/", p) or any(c in p for c in "*?[") or Path(p).exists()]
     if not there:
@@ -44,7 +46,20 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
         df = reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(there)
         if on_error == "skip":
             df = df.where("_corrupt_record IS NULL").drop("_corrupt_record")
-    return df if limit is None else df.limit(limit)
+    return df
+
+
+def _first_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType, on_error: str, limit: int) -> DataFrame:
+    listed = [p for p in ([paths] if isinstance(paths, str) else list(paths)) if re.match(r"[a-z][a-z0-9+.-]*:/", p) or any(c in p for c in "*?[") or Path(p).exists()]
+    if not listed:
+        return spark.createDataFrame([], schema)
+    lines = spark.read.option("recursiveFileLookup", "true").text(listed).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
+    at = lines.withColumn("_i", F.monotonically_increasing_id())  # lines of a block are numbered in their order
+    first = at.orderBy("_f", "_s", "_i").limit(limit).where(F.trim("value") != "")
+    options = {"mode": "FAILFAST"} if on_error == "fail" else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    full = schema if on_error == "fail" else T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    df = first.select(F.from_json("value", full, options).alias("r")).select("r.*")
+    return df.where("_corrupt_record IS NULL").drop("_corrupt_record") if on_error == "skip" else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -11,6 +11,12 @@ from qaloom.operators.quality import is_quality_record
 from qaloom.sources.readers import QA_RECORD
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there, on whatever file system its address names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def consolidate_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, schema: T.StructType = QA_RECORD, files_at_once: int = 1000):
     """Start a stream that reads new JSON-line files of `folder`, keeps records of quality whose question is new, and appends them to `out`.
 
@@ -22,12 +28,9 @@ def consolidate_stream(spark: SparkSession, folder: str, out: str, checkpoint: s
     def add(batch: DataFrame, _: int) -> None:
         good = batch.where(is_quality_record(F.col("question"), F.col("answer"))).withColumn("question_hash", question_hash(F.col("question")))
         fresh = exact_dedup(good, F.col("question_hash"), [F.col("file_name"), F.col("id")])
-        try:
-            before = batch.sparkSession.read.parquet(out).select("question_hash")
+        if _exists(batch.sparkSession, out):
+            before = batch.sparkSession.read.schema("question_hash string").parquet(out)
             fresh = fresh.join(before, "question_hash", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         fresh.write.mode("append").parquet(out)
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

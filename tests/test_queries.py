@@ -34,7 +34,7 @@ def test_query_equals_its_sql(spark, name):
     assert _rows(df.columns, df.collect()) == _rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_all", "bm25_metrics_all"])
+@pytest.mark.parametrize("name", ["bm25_topk"])
 def test_whole_corpus_query_equals_its_sql(spark, name):
     test_query_equals_its_sql(spark, name)
 
@@ -42,7 +42,7 @@ def test_whole_corpus_query_equals_its_sql(spark, name):
 def test_retrieval_gain_searches_all_answers(spark):
     from qaloom.queries import QUERIES
 
-    whole = QUERIES["bm25_metrics_all"](spark, str(DATA)).first()
+    whole = QUERIES["bm25_metrics"](spark, str(DATA)).first()
     got = {r["metric"]: r["tuned"] for r in QUERIES["retrieval_gain"](spark, str(DATA)).collect()}
     assert got["mrr"] == pytest.approx(whole["mrr"], abs=1e-6) and got["recall_10"] == pytest.approx(whole["recall_10"], abs=1e-6)
 
