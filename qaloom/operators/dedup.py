@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from qaloom.functions.text import squeeze
 from qaloom.operators.graph import link_components
 from qaloom.operators.rows import positions
-from qaloom.plans.staging import staged
+from qaloom.plans.staging import settled, staged
 
 
 def question_hash(question: Column) -> Column:
@@ -66,20 +66,38 @@ def first_wins(nodes: DataFrame, links: DataFrame, grouped: int = 5_000) -> Data
     links = staged(large.select("a", "b"))
     touched = links.select(F.col("b").alias("node")).distinct()
     state = nodes.select("node").distinct().join(decided, "node", "left").join(touched.withColumn("_t", F.lit(True)), "node", "left")
-    state = staged(state.select("node", F.coalesce("new", F.when(F.col("_t").isNull(), True)).alias("kept")))
+    links, state = settled(links), settled(state.select("node", F.coalesce("new", F.when(F.col("_t").isNull(), True)).alias("kept")))
     while not state.where("kept IS NULL").isEmpty():
         known = state.select(F.col("node").alias("a"), F.col("kept").alias("ka"))
         undecided = state.where("kept IS NULL").select(F.col("node").alias("b"))
         seen = links.join(undecided, "b").join(known, "a").groupBy("b").agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("falls"), F.bool_or(F.col("ka").isNull()).alias("waits"))
         new = seen.where("falls OR NOT waits").select(F.col("b").alias("node"), (~F.col("falls")).alias("new"))
-        state = staged(state.join(new, "node", "left").select("node", F.coalesce("kept", "new").alias("kept")))
+        state = settled(state.join(new, "node", "left").select("node", F.coalesce("kept", "new").alias("kept")))
     return state
 
 
-def _shingle_hashes(text: str, size: int) -> np.ndarray:
+class _WordHashes(dict):
+    """64-bit hashes of words, kept while a task runs."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h
+
+
+def _shingle_hashes(text: str, size: int, hashes: _WordHashes) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of `size` words in lower case: a polynomial in the hashes of the words."""
     w = text.lower().split()
-    parts = {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}
-    return np.sort(np.array([int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "little", signed=True) for p in parts], dtype=np.int64))
+    h = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out ^= out >> np.uint64(32)
+    return np.unique((out * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64))
 
 
 #: Length of the table in which pieces of text are counted: its size is fixed, whatever the data.
@@ -90,8 +108,8 @@ def piece_counts(pieces: DataFrame) -> np.ndarray:
     """How often hashes `h` (an array a row) fall on each of COUNTERS places: an order of pieces, rare ones first."""
     slot = F.pmod(F.col("k"), F.lit(COUNTERS))
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in pieces.select(F.explode("h").alias("k")).groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # COUNTERS rows at most
-        counts[r["b"]] = r["n"]
+    found = pieces.select(F.explode("h").alias("k")).groupBy(slot.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # COUNTERS rows at most
+    counts[found["b"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
@@ -114,10 +132,11 @@ def minhash(texts: DataFrame, size: int = 3, permutations: int = PERMUTATIONS, s
     add = rng.integers(0, 1 << 62, permutations, dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                h = _shingle_hashes(text or "", size).view(np.uint64)
+                h = _shingle_hashes(text or "", size, known).view(np.uint64)
                 least = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for at in range(0, len(h), 4096):
                     x = h[at : at + 4096, None] * mul + add
@@ -161,8 +180,9 @@ def _shingled(texts: DataFrame, size: int) -> DataFrame:
     """`node`, `h` (sorted hashes of the distinct shingles), `n`, of the texts that have any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
         for pdf in batches:
-            hashes = [_shingle_hashes(t or "", size) for t in pdf["text"]]
+            hashes = [_shingle_hashes(t or "", size, known) for t in pdf["text"]]
             out = pdf[["node"]].assign(h=hashes, n=[len(h) for h in hashes])
             yield out[out["n"] > 0]
 

@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -35,6 +36,18 @@ def staged(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`staged` for loops: what the planner knows of the rows (constraints, sizes) is forgotten with the lineage.
+
+    A checkpoint keeps the constraints of its plan, which multiply with every round of a loop of joins until planning
+    takes longer than the work. Sizes are then known from the shuffles, at run time.
+    """
+    done = staged(df)
+    session = df.sparkSession
+    plain = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, session)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, for tables that a query writes and reads back."""
     ensure_checkpoint_dir(spark)
