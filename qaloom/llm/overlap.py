@@ -208,8 +208,8 @@ def overlaps(records: DataFrame, cfg: OverlapConfig = OverlapConfig()) -> tuple[
     counts = np.zeros(cfg.df_buckets, dtype=np.int64)
     slot = F.col("h") % F.lit(cfg.df_buckets)
     slot = F.when(slot < 0, slot + cfg.df_buckets).otherwise(slot)  # as the unsigned remainder, the length being a power of 2
-    for r in units.select(F.explode("qk").alias("h")).groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # df_buckets rows at most
-        counts[r["b"]] = r["n"]
+    found = units.select(F.explode("qk").alias("h")).groupBy(slot.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # df_buckets rows at most
+    counts[found["b"].to_numpy()] = found["n"].to_numpy()
     keyed = staged(_keyed(units.select("uid", "evals", "trains", "nq", "nc", "bits", "qk"), counts, cfg))
     maybe = staged(_candidates(_blocks(keyed, cfg), cfg))
     wanted = maybe.select(F.col("e").alias("uid")).union(maybe.select(F.col("t").alias("uid"))).distinct().join(units.select("uid", "one"), "uid")
