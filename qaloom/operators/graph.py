@@ -25,8 +25,8 @@ def link_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         hooks = ties.join(pa, "a").join(pb, "b").where("pa <> pb").groupBy(F.greatest("pa", "pb").alias("node")).agg(F.min(F.least("pa", "pb")).alias("hook"))
         new = flat.join(hooks, "node", "left").select("node", F.least("parent", F.coalesce("hook", "parent")).alias("parent"))
         new = staged(new)
-        changed = new.join(parent.withColumnRenamed("parent", "before"), "node").where("parent <> before").isEmpty()
+        same = new.join(parent.withColumnRenamed("parent", "before"), "node").where("parent <> before").isEmpty()
         parent = new
-        if changed:
+        if same:
             break
     return nodes.select("node").distinct().join(parent, "node", "left").select("node", F.coalesce("parent", "node").alias("root"))

@@ -115,7 +115,8 @@ def stratified_sample(records: DataFrame, stratum: str, size: int, seed: int = 4
     # the first `size` of each part of a stratum by the hash: no stratum is sorted whole, and no quota is beyond `size`
     best = Window.partitionBy("stratum", "_part").orderBy("h", record)
     few = rows.withColumn("_part", F.spark_partition_id()).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= size)
-    picked = few.join(F.broadcast(quota), "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", record))).where("r <= quota").drop("_part", "_r")
+    some = F.broadcast(quota.where("quota > 0"))  # `size` strata at most
+    picked = few.join(some, "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", record))).where("r <= quota").drop("_part", "_r")
     given = picked.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", record)))  # `size` rows
     return given.select(F.concat(F.lit("ann_"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("annotation_id"), F.col(record).alias("original_id"), "stratum")
 
