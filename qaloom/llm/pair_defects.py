@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -68,7 +70,7 @@ class DefectConfig:
     refusing one `foreign` of the words at least are foreign to all contexts, that is, `rarer` times as rare there as in
     openings. At most `numbers` of a refusing template's openings have a number. `telling` is the share of a phrase's
     openings that belong to refusing templates. `bands` of `rows` minima each make a signature; a bucket of over `bucket`
-    openings is split by further minima.
+    openings is compared by a shuffle, not inside a task.
     """
 
     opening: int = 6
@@ -290,61 +292,71 @@ def signatures(openings: list[str], size: int) -> np.ndarray:
     return out
 
 
+def large_subsets(words: list[str], similar: float) -> Iterator[tuple[str, int]]:
+    """Subsets of the sorted distinct `words`, and their sizes, that hold a share of `similar` at least: two sets that near share one."""
+    least = max(1, math.ceil(similar * len(words) - 1e-9))
+    for k in range(least, len(words) + 1):
+        for some in itertools.combinations(words, k):
+            yield " ".join(some), k
+
+
 def opening_templates(openings: DataFrame, cfg: DefectConfig) -> DataFrame:
     """`node` and `template` of all distinct `openings` (`node`, a hash, and `opening`).
 
-    MinHash with verification: openings of one band are compared with the leaders of its bucket, whose words are counted
-    out exactly; one that is `similar` to a leader is linked to it, any other becomes a leader itself, so that nothing is
-    compared with a single centre only. A bucket of more than `bucket` openings is split by the minima of the following
-    bands, as often as there are some. A template is a connected cluster, named by its least node.
+    MinHash with verification: openings that share a band are candidates, and those whose words' exact Jaccard is
+    `similar` are linked. Near sets have a large subset in common, so each opening of a bucket is linked to the smallest
+    one with the same subset, if the sizes say that they are near; as any two that are near by a subset are both near to
+    its smallest opening, these links connect what all pairs would. Buckets of more than `bucket` openings don't fit a
+    task: their openings are linked in the same way by a shuffle of the subsets, whatever their number. A template is a
+    connected cluster, named by its least node.
     """
-    levels = 4
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sig = signatures(pdf["opening"].tolist(), cfg.bands * cfg.rows).reshape(len(pdf), cfg.bands, cfg.rows)
             parts = []
             for band in range(cfg.bands):
-                key, keys = np.full(len(pdf), band + 1, dtype=np.uint64), []
-                for level in range(levels):
-                    for row in range(cfg.rows):
-                        key = (key ^ sig[:, (band + level) % cfg.bands, row]) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(29)
-                    keys.append(key.view(np.int64).copy())
-                parts.append(pd.DataFrame({"node": pdf["node"], "opening": pdf["opening"], "keys": list(np.stack(keys, axis=1))}))
+                key = np.full(len(pdf), band + 1, dtype=np.uint64)
+                for row in range(cfg.rows):
+                    key = (key ^ sig[:, band, row]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                parts.append(pd.DataFrame({"node": pdf["node"], "opening": pdf["opening"], "key": key.view(np.int64)}))
             yield pd.concat(parts)
 
-    keyed = staged(openings.select("node", "opening").mapInPandas(sign, "node bigint, opening string, keys array<bigint>"))
-    at = keyed.select("node", "opening", "keys", F.col("keys")[0].alias("key"))
-    done = None
-    for level in range(levels):
-        sizes = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = at.join(sizes, "key")
-        fits = sized.where((F.col("n") <= cfg.bucket) | F.lit(level == levels - 1)).select("key", "node", "opening")
-        done = fits if done is None else done.unionByName(fits)
-        if level < levels - 1:
-            large = sizes.where(F.col("n") > cfg.bucket).select("key")
-            if large.isEmpty():
-                break
-            at = at.join(large, "key", "left_semi").withColumn("key", F.col("keys")[level + 1])
-
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, leaders = None, []
+    keyed = staged(openings.select("node", "opening").mapInPandas(sign, "node bigint, opening string, key bigint"))
+    sized = keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, smallest = None, {}
         for pdf in batches:
-            rows = []
+            rows = set()
             for key, node, opening in zip(pdf["key"].tolist(), pdf["node"].tolist(), pdf["opening"], strict=True):
                 if key != here:
-                    here, leaders = key, []
-                words = frozenset(opening.split())
-                for leader, theirs in leaders:
-                    if len(words & theirs) >= cfg.similar * len(words | theirs):
-                        rows.append((node, leader))
-                        break
-                else:
-                    leaders.append((node, words))
-            yield pd.DataFrame(rows, columns=["node", "key"])
-
-    links = staged(done.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lead, "node bigint, key bigint").distinct())
+                    here, smallest = key, {}
+                words = sorted(set(opening.split()))
+                for subset, k in large_subsets(words, cfg.similar):
+                    first, size = smallest.setdefault(subset, (node, len(words)))
+                    if first != node and k >= cfg.similar * (size + len(words) - k):
+                        rows.add((node, first))
+            yield pd.DataFrame(list(rows), columns=["node", "key"])
+
+    size = F.size(F.array_distinct(F.split("opening", " ")))
+    small = sized.where(F.col("n") <= cfg.bucket).select("key", "node", "opening", size.alias("size"))
+    links = small.repartition("key").sortWithinPartitions("key", "size", "node").mapInPandas(link, "node bigint, key bigint")
+    large = sized.where(F.col("n") > cfg.bucket).select("node", "opening").distinct()
+
+    def subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for node, opening in zip(pdf["node"].tolist(), pdf["opening"], strict=True):
+                words = sorted(set(opening.split()))
+                rows += [(node, len(words), subset, k) for subset, k in large_subsets(words, cfg.similar)]
+            yield pd.DataFrame(rows, columns=["node", "size", "subset", "k"])
+
+    parts = large.mapInPandas(subsets, "node bigint, size int, subset string, k int")
+    first = parts.groupBy("subset").agg(F.min(F.struct("size", "node")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("subset", "first")
+    near = parts.join(first, "subset").where((F.col("first.node") != F.col("node")) & (F.col("k") >= F.lit(cfg.similar) * (F.col("first.size") + F.col("size") - F.col("k"))))
+    links = staged(links.union(near.select("node", F.col("first.node").alias("key"))).distinct())
     ties = links.union(links.select("key", "key").distinct())
     return components(openings.select("node"), ties).select("node", F.col("root").alias("template"))
 

@@ -482,6 +482,24 @@ def test_openings_by_verified_minhash(spark):
         assert sum(got[a] == got[b] for a, b in links) >= (0.99 if bucket > 3 else 0.75) * len(links)
 
 
+@pytest.mark.parametrize("bucket", [2_000, 3])
+def test_openings_of_any_bucket_meet_all_their_partners(spark, bucket):
+    rng = random.Random(4)
+    some = set()
+    for _ in range(60):
+        o = rng.sample([f"w{i}" for i in range(9)], 6)
+        some |= {" ".join(o), " ".join(o[:5]), " ".join(o[1:])}
+    some = sorted(some)
+    df = spark.createDataFrame(list(enumerate(some)), "node bigint, opening string")
+    # one band of one row puts all openings with the same least word into one bucket
+    cfg = pair_defects.DefectConfig(bucket=bucket, bands=1, rows=1)
+    least = pair_defects.signatures(some, 1)[:, 0]
+    sets = [set(o.split()) for o in some]
+    links = [(a, b) for a, b in itertools.combinations(range(len(some)), 2) if least[a] == least[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = dict(rows(pair_defects.opening_templates(df, cfg)))
+    assert len(links) > 100 and all(got[a] == got[b] for a, b in links)
+
+
 def test_planted_refusals_in_unseen_words(spark):
     rng = random.Random(5)
     things = "honey salmon wheat sludge plasma urine maize yeast".split()
