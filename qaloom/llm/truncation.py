@@ -15,6 +15,8 @@ from qaloom.plans.staging import staged
 ABBREVIATIONS = r"(?i)(?:^|[\s(])(?:e\.g|i\.e|fig|figs|vs|approx|ca|cf|resp|z\.B|d\.h|p\.ej)\.$"
 #: Ends that a transfer leaves: an ellipsis or a broken character on a word, a started entity or tag, a comma or bracket.
 CUT_MARKS = r"(?:[\p{L}\p{N},;(]…|[\p{L}\p{N},;(]\.\.\.|\x{FFFD}|&(?:#?[A-Za-z0-9]{0,6})?|</?[A-Za-z]{0,4}|\p{L}\s?[,;(\[])$"
+#: The longest of these marks and abbreviations, and some more.
+MARK_LENGTH = 16
 #: A full stop, or a reference in brackets after one.
 END = r"[.!?。！？][)\]}\"'”’»]*(?:\s+(?:Source:\s*)?[(\[](?:[^()\[\]]|[(\[][^()\[\]]*[)\]])*[)\]])?$"
 #: A row of a table with as many cells as the row before.
@@ -27,6 +29,8 @@ DANGLING = tuple("a an the of with from by to for at into and or der die das den
 class TruncationConfig:
     """`often`: occurrences from which a sequence counts as frequent; `ends` and `almost_never`: ends it may have, and their share.
 
+    Parts of a word are at most `part_share` of what follows the two words before, or one.
+
     The marks of an end are looked for in the last `tail` characters, or the last four words where these are longer: a
     bracket behind a full stop, or a table's row, that is longer isn't known as one.
     """
@@ -34,6 +38,7 @@ class TruncationConfig:
     often: int = 10
     ends: int = 3
     almost_never: float = 0.05
+    part_share: float = 0.01
     often_stop: int = 30
     almost_never_stop: float = 0.01
     phrase_words: int = 14
@@ -59,12 +64,14 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     stands behind the two before it. Where a sequence is too rare to tell, a last line of prose without a stop is a cut, and so is an
     unclosed text of a length at which texts of its field stop conspicuously often. A short answer that
     doesn't start like a sentence is excused from these two; what the sequences tell cuts it if its last word is unseen
-    there or can't end a phrase, and no more than two of its field have the same text. Null and blank texts aren't cut; equal texts count once at ends; very
+    there or can't end a phrase, and no more than two of its field have the same text, or so few that as many are cut there in
+    a large corpus (`part_share` of the sequences with the two words before). Null and blank texts aren't cut; equal texts count once at ends; very
     long ones are handled whole. An empty table gives an empty table.
     """
     rows = texts.select("id", "field", strip(F.col("text")).alias("text")).where(F.col("text") != "")
-    t = rows.withColumn("h", F.transform(_tokens(F.col("text")), lambda w: F.xxhash64("field", w))).withColumn("n", F.size("h"))
-    inside = t.where("n > 3").selectExpr("inline(transform(sequence(2, n - 2), i -> named_struct('a', xxhash64(h[i - 2], h[i - 1], h[i]), 'b', xxhash64(h[i - 2], h[i - 1]))))")
+    t = rows.select("field", _tokens(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 3")
+    inside = t.selectExpr("field", "inline(arrays_zip(slice(w, 1, n - 3), slice(w, 2, n - 3), slice(w, 3, n - 3)))").toDF("field", "x", "y", "z")
+    inside = inside.selectExpr("xxhash64(field, x) AS x", "xxhash64(field, y) AS y", "xxhash64(field, z) AS z").selectExpr("xxhash64(x, y, z) AS a", "xxhash64(x, y) AS b")
     inside = staged(inside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("inside")))
     # what a text ends with stands in its last characters and its last words; its last line and first words are looked at
     # whole, by patterns that stop after a few words. `n` counts the words, with the two start marks, up to `phrase_words` + 3
@@ -83,18 +90,23 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     ends = w.select(
         "id", "field", "hash", "n", "n_chars",
         F.expr(f"xxhash64({h1}, {h2}, {h3})").alias("a"), F.expr(f"xxhash64({h1}, {h2})").alias("b"),
-        close.rlike(CUT_MARKS).alias("marked"),
+        F.right("text", F.lit(MARK_LENGTH)).rlike(CUT_MARKS).alias("marked"),
         close.rlike(END).alias("closed"),
-        (F.element_at("w", -1).rlike(r"(?:^|[(=])0\.$") | close.rlike(ABBREVIATIONS)).alias("open_stop"),
-        close.rlike(ABBREVIATIONS).alias("abbreviated"),
-        "prose", "sentence",
+        F.element_at("w", -1).rlike(r"(?:^|[(=])0\.$").alias("number_stop"),
+        F.right("text", F.lit(MARK_LENGTH)).rlike(ABBREVIATIONS).alias("abbreviated"),
+        "prose", "sentence", "short_line", "text",
         F.element_at("w", -1).rlike(r"^\p{Ll}+$").alias("plain"),
-        (F.substring_index("text", "\n", -2).rlike(ROW) | F.col("short_line") & last_line.rlike("(?i)" + RUNNING)).alias("row"),
         F.element_at("w", -1).isin(*DANGLING).alias("dangling"),
     )
-    ends = staged(ends)
+    row = F.substring_index("text", "\n", -2).rlike(ROW) | F.col("short_line") & last_line.rlike("(?i)" + RUNNING)
+    # rows are asked for among unclosed texts only
+    ends = staged(ends.withColumn("open_stop", F.col("number_stop") | F.col("abbreviated")).withColumn("row", ~F.col("closed") & ~F.col("marked") & row).drop("text", "short_line", "number_stop"))
     once = ends.select("hash", "a", "b").distinct()
-    repeated = ends.where(F.col("n") - 2 <= cfg.phrase_words).groupBy("field", "hash").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= cfg.ends).select("field", "hash", F.lit(True).alias("repeated"))
+    texts_of = ends.groupBy("field", "hash").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    short = F.col("n") - 2 <= cfg.phrase_words
+    # how often the texts that don't recur by chance were delivered, as the whole corpus may be
+    times = texts_of.where(~short).groupBy("field").agg(F.greatest(F.round(F.avg("k")), F.lit(1.0)).alias("times"))
+    repeated = texts_of.where(short & (F.col("k") >= cfg.ends)).join(times, "field", "left").where(F.col("k") >= F.coalesce("times", F.lit(1.0)) * cfg.ends).select("field", "hash", "k")
 
     def counted(key: str) -> DataFrame:
         stop = once.groupBy(key).agg(F.count(F.lit(1)).alias(f"end_{key}"))
@@ -105,11 +117,13 @@ def truncated(texts: DataFrame, cfg: TruncationConfig = TruncationConfig()) -> D
     by_length = ends.where(~F.col("closed") & (F.col("n_chars") >= cfg.spike_from)).groupBy("field", "n_chars").agg(F.count_distinct("hash").alias("k"))
     around = by_length.select("field", "k", F.explode(F.sequence(F.col("n_chars") - 10, F.col("n_chars") + 10)).alias("n_chars")).groupBy("field", "n_chars").agg(F.sum("k").alias("around"))
     spikes = by_length.join(around, ["field", "n_chars"]).where((F.col("k") >= cfg.spike) & (F.col("k") >= cfg.spike_times * (F.col("around") - F.col("k")) / 20.0)).select("field", "n_chars", F.lit(True).alias("spike"))
-    x = ends.join(ca, "a").join(cb, "b").join(spikes, ["field", "n_chars"], "left").join(repeated, ["field", "hash"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    x = ends.join(ca, "a").join(cb, "b").join(spikes, ["field", "n_chars"], "left").join(repeated, ["field", "hash"], "left").withColumn("repeated", F.coalesce(F.col("k") > (F.col("in_b") + F.col("end_b")) * cfg.part_share, F.lit(False)))
     share_a, share_b = F.col("end_a") / (F.col("end_a") + F.col("in_a")), F.col("end_b") / (F.col("end_b") + F.col("in_b"))
-    common_end = ((F.col("end_a") >= cfg.ends) & (share_a >= cfg.almost_never)) | ((F.col("end_b") >= cfg.ends) & (share_b >= cfg.almost_never))
+    # ends of a part of a word grow with the corpus: they are as rare among what follows the two words before, not in number
+    part = (F.col("in_a") == 0) & (F.col("end_a") <= F.greatest(F.lit(1.0), (F.col("in_b") + F.col("end_b")) * cfg.part_share)) & F.col("plain")
+    common_end = ((F.col("end_a") >= cfg.ends) & (share_a >= cfg.almost_never) & ~part) | ((F.col("end_b") >= cfg.ends) & (share_b >= cfg.almost_never))
     never = (F.col("in_b") >= cfg.often) & ~common_end
-    unseen = (F.col("in_a") == 0) & (F.col("end_a") <= 1) & (F.col("in_b") + F.col("end_b") >= 2 * cfg.often) & F.col("plain")
+    unseen = part & (F.col("in_b") + F.col("end_b") >= 2 * cfg.often)
     phrase = (F.col("field") == "answer") & ~F.col("sentence") & (F.col("n") - 2 <= cfg.phrase_words)
     # a number's point is no full stop if numbers don't end a sentence there, inside the texts either
     number = (F.col("in_b") >= cfg.often_stop) & (share_b < cfg.almost_never_stop) & (F.col("in_a") * 50 < F.col("in_b"))

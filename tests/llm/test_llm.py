@@ -411,6 +411,26 @@ def test_cut_short_phrases(spark):
     assert got == {"c1", "c2"}
 
 
+def test_parts_of_words_recur_in_a_large_corpus(spark):
+    names = ("zarol", "melin", "corin", "tasole", "ribine", "fenol", "kelit", "sulon")
+    data = [(f"f{i:04d}", "context", f"Vial {names[i % 8]} of {names[i // 8 % 8]} was kept cold in the {names[i // 64 % 8]} and then heated by the operator of the bench in room {i}.") for i in range(1_000)]
+    # the same part of a word ends six texts, as it does in a corpus of many; so does the same short phrase
+    cut = [(f"c{i}", "context", f"Vial {names[i]} of {names[i + 1]} was kept cold in the melin and then heated by the oper") for i in range(6)]
+    data += [(f"a{i:04d}", "answer", f"The {names[i % 8]} was heated by the operator of the bench in room {i}.") for i in range(1_000)]
+    cut += [(f"s{i}", "answer", "heated by the operator of the") for i in range(6)]
+    got = {r["id"] for r in truncation.truncated(spark.createDataFrame(data + cut, "id string, field string, text string")).where("cut").collect()}
+    assert got == {r[0] for r in cut}
+
+
+def test_a_corpus_delivered_many_times_cuts_the_same_phrases(spark):
+    names = ("zarol", "melin", "corin", "tasole", "ribine", "fenol", "kelit", "sulon")
+    data = [(f"a{i:03d}", "answer", f"The {names[i % 8]} number {i} ran on the ion trap with a {w} column and gave a signal in room {i}.") for i, w in enumerate(("porous", "diol", "phenyl") * 30)]
+    data += [("c1", "answer", "the Sorrel ion trap with a porou"), ("c2", "answer", "on the Sorrel ion trap with a")]
+    many = [(f"{k}-{i}", *rest) for k in range(5) for i, *rest in data]
+    got = {r["id"] for r in truncation.truncated(spark.createDataFrame(many, "id string, field string, text string")).where("cut").collect()}
+    assert got == {f"{k}-{c}" for k in range(5) for c in ("c1", "c2")}
+
+
 def test_pair_checks():
     d = pair_defects
     assert all(d.blank(x) for x in (None, "", " \n", "​", "N/A", "...", "Answer:", "[]", "nan")) and not d.blank("5") and not d.blank("No.")
