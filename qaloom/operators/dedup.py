@@ -257,9 +257,70 @@ def hash_bit(char: str, nth: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{char}{nth}".encode(), digest_size=1).digest(), "little")
 
 
-def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFrame:
+def bitmap(text: str) -> list[int]:
+    """Four 64-bit words with the parity of the characters, each occurrence an element of its own: an edit changes one bit at most."""
+    bits = 0
+    for c, n in Counter(text).items():
+        for nth in range(n):
+            bits ^= 1 << hash_bit(c, nth)
+    return [((bits >> (64 * i) & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for i in range(4)]
+
+
+def near_any(text: str, heads: list[str], maps: np.ndarray, sizes: np.ndarray, ratio: float) -> bool:
+    """Whether the indel ratio of `text` and one of `heads`, whose bitmaps and lengths are given, is `ratio` or more."""
+    total = sizes + len(text)
+    fits = np.minimum(sizes, len(text)) * 2.0 >= ratio / 100.0 * total - 1e-9
+    apart = np.bitwise_count(maps ^ np.array(bitmap(text), dtype=np.int64).view(np.uint64)[:, None]).sum(axis=0, dtype=np.int64)
+    maybe = np.flatnonzero(fits & (apart <= (1 - ratio / 100.0) * total + 1e-9))
+    return any(indel_ratio(heads[i], text) >= ratio - 1e-9 for i in maybe[np.argsort(apart[maybe], kind="stable")])
+
+
+def fuzzy_leaders(heads: DataFrame, ratio: float, block: int = 4_096, least_share: float = 0.1, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """`kept` (`node`) and `rest` (`node`, `text`): what the first of `heads` decide of a removal in which the first wins.
+
+    The first `block` texts in the order of nodes are gone through one by one; those kept are compared with all later
+    texts where these are, without a row per pair, and what is near one falls. This goes on while a block fells
+    `least_share` of the later texts, `rounds` times at most. What is in neither `kept` nor `rest` has fallen; `rest` is
+    near to nothing in `kept`, so it can be decided by itself. Nothing is left out, and templates that most texts
+    follow are felled by a few leaders instead of by all their pairs.
+    """
+    spark, kind = heads.sparkSession, heads.schema["node"].dataType.simpleString()
+    rest, kept, left = heads.select("node", "text"), [], heads.count()
+    for _ in range(rounds):
+        if left <= block:
+            break
+        first = rest.orderBy("node").limit(block).collect()  # `block` rows, whatever the data
+        last, leaders, nodes = first[-1]["node"], [], []
+        maps, sizes = np.zeros((4, block), dtype=np.uint64), np.zeros(block, dtype=np.int64)
+        for node, text in first:
+            n = len(leaders)
+            if not near_any(text, leaders, maps[:, :n], sizes[:n], ratio):
+                leaders.append(text)
+                nodes.append((node,))
+                maps[:, n], sizes[n] = np.array(bitmap(text), dtype=np.int64).view(np.uint64), len(text)
+        kept.append(spark.createDataFrame(nodes, f"node {kind}"))
+        shared = spark.sparkContext.broadcast((leaders, maps[:, : len(leaders)].copy(), sizes[: len(leaders)]))
+
+        def alive(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            held = shared.value
+            for pdf in batches:
+                yield pdf[[not near_any(text, *held, ratio) for text in pdf["text"]]]
+
+        rest = staged(rest.where(F.col("node") > F.lit(last)).mapInPandas(alive, f"node {kind}, text string"))
+        before, left = left - len(first), rest.count()
+        if before - left < least_share * before:
+            break
+    none = heads.select("node").limit(0)
+    for x in kept:
+        none = none.union(x)
+    return none, rest
+
+
+def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3, window: int | None = None) -> DataFrame:
     """Pairs `a` < `b` of distinct `texts` (`node`, `text`) whose indel ratio is `ratio` or more.
 
+    With `window` the texts have a `position` in the order of nodes, and only pairs that are at most `window` apart are looked for.
+
     Texts that near share most of their `gram`-character pieces: with at most d = (1 - ratio) * (la + lb) edits at most
     gram * d pieces of either differ. Candidates share one of the gram * d + 1 rarest pieces of both, are of fitting length,
     differ in no more than d places of a bitmap (the parity of the characters, each occurrence an element of its own: an
@@ -271,11 +332,7 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
         for pdf in batches:
             out, keep, maps = [], [], []
             for text in pdf["text"]:
-                bits = 0
-                for c, n in Counter(text).items():
-                    for nth in range(n):
-                        bits ^= 1 << hash_bit(c, nth)
-                maps.append([((bits >> (64 * i) & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for i in range(4)])
+                maps.append(bitmap(text))
                 edits = int(far * len(text) * (1 + (2 - ratio / 100) / (ratio / 100)))  # the other text is at most (2 - r) / r as long
                 padded = text + "\0" * gram
                 seen: dict[str, int] = {}
@@ -287,24 +344,32 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
                 out.append(sorted(grams))
                 keep.append(gram * edits + 1)
             columns = {f"b{i}": [m[i] for m in maps] for i in range(4)}
-            yield pdf[["node"]].assign(n=pdf["text"].str.len(), h=out, keep=keep, **columns)
+            yield pdf[["node", "position"]].assign(n=pdf["text"].str.len(), h=out, keep=keep, **columns)
 
     kind = texts.schema["node"].dataType.simpleString()
-    some = staged(texts.where("text <> ''").select("node", "text"))
-    cut = staged(some.mapInPandas(pieces, f"node {kind}, n int, h array<bigint>, keep int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"))
+    position = F.lit(0).cast("bigint") if window is None else F.col("position")
+    some = staged(texts.where("text <> ''").select("node", position.alias("position"), "text"))
+    cut = staged(some.mapInPandas(pieces, f"node {kind}, position bigint, n int, h array<bigint>, keep int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"))
     shared = cut.sparkSession.sparkContext.broadcast(piece_counts(cut))  # of fixed size
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for pdf in batches:
             keys = [rare_first(np.asarray(h, dtype=np.int64), counts, k) for h, k in zip(pdf["h"], pdf["keep"], strict=True)]
-            yield pdf[["node", "n", *BITS]].assign(k=keys).explode("k").astype({"k": "int64"})
-
-    keys = cut.mapInPandas(rarest, f"node {kind}, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, k bigint")
-    left, right = (keys.select("k", F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS]) for x in ("a", "b"))
+            yield pdf[["node", "position", "n", *BITS]].assign(k=keys).explode("k").astype({"k": "int64"})
+
+    keys = cut.mapInPandas(rarest, f"node {kind}, position bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, k bigint")
+    left, right = (keys.select("k", F.col("node").alias(x), F.col("position").alias(f"p{x}"), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS]) for x in ("a", "b"))
+    on = ["k"]
+    if window is not None:  # a text meets those of its own stretch of positions and of the one before
+        at = F.floor(F.col("pa") / F.lit(max(1, window)))
+        left, right = left.withColumn("at", F.explode(F.array(at, at + 1))), right.withColumn("at", F.floor(F.col("pb") / F.lit(max(1, window))))
+        on = ["k", "at"]
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
     fits = (F.least("na", "nb") * 2.0 >= (ratio / 100.0) * (F.col("na") + F.col("nb")) - 1e-9) & (apart <= far * (F.col("na") + F.col("nb")) + 1e-9)
-    maybe = left.join(right, "k").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    if window is not None:
+        fits = fits & (F.col("pb") - F.col("pa") <= window)
+    maybe = left.join(right, on).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     ta, tb = some.select(F.col("node").alias("a"), F.col("text").alias("ta")), some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     near = maybe.join(ta, "a").join(tb, "b").where(F.levenshtein("ta", "tb") <= far * (F.length("ta") + F.length("tb")) + 1e-9)
 
@@ -317,20 +382,22 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFra
     return near.mapInPandas(measure, f"a {kind}, b {kind}, ratio double")
 
 
-def fuzzy_dedup(records: DataFrame, record: str = "id", question: str = "question", ratio: float = 90.0, window: int | None = None) -> DataFrame:
+def fuzzy_dedup(records: DataFrame, record: str = "id", question: str = "question", ratio: float = 90.0, window: int | None = None, block: int = 4_096) -> DataFrame:
     """`node` (the record's id) and `kept` after exact and fuzzy removal of repeated questions, in the order of ids.
 
     Equal questions, in lower case with single blanks, count once; only distinct ones are compared. Null questions stay.
+    The first questions, `block` at a time, fell what is near them before the rest is compared in pairs.
     With `window` a question is compared with that many distinct questions before it only, as a scan with a bounded
     memory does; positions are counted in ranges of the id, not in one task.
     """
     text = F.trim(squeeze(F.lower(F.col(question))))
     rows = staged(records.select(F.col(record).alias("node"), text.alias("text")))
     heads = staged(rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("node").alias("node")))
-    links = fuzzy_pairs(heads, ratio).select("a", "b")
     if window is not None:
-        at = staged(positions(heads.select("node"), "node"))
-        pa, pb = at.select(F.col("node").alias("a"), F.col("position").alias("pa")), at.select(F.col("node").alias("b"), F.col("position").alias("pb"))
-        links = links.join(pa, "a").join(pb, "b").where(F.col("pb") - F.col("pa") <= window).select("a", "b")
-    kept = first_wins(heads.select("node"), links)
+        placed = staged(positions(heads.select("node", "text"), "node"))
+        kept = first_wins(heads.select("node"), fuzzy_pairs(placed, ratio, window=window).select("a", "b"))
+    else:
+        sure, rest = fuzzy_leaders(heads, ratio, block)
+        kept = first_wins(rest.select("node"), fuzzy_pairs(rest, ratio).select("a", "b"))
+        kept = heads.select("node").join(kept.union(sure.select("node", F.lit(True).alias("kept"))), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
     return rows.select("node", F.col("text").isNull().alias("_null")).join(kept, "node", "left").select("node", F.coalesce("kept", F.col("_null")).alias("kept"))

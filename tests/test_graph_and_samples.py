@@ -61,6 +61,40 @@ def test_lsh_finds_near_texts(spark):
     assert not any(exact[i] for i in range(40, 85))
 
 
+def _questions(n):
+    rng = random.Random(12)
+    kinds = ("which volume of {} was loaded onto the column", "how long was {} kept in the cold before it was run", "why did {} elute late")
+    return sorted({rng.choice(kinds).format("".join(rng.choice("abc") for _ in range(rng.randrange(4, 8)))) for _ in range(n)}, key=lambda q: rng.random())
+
+
+def _first_wins(texts, window=None):
+    kept = {}
+    for i, t in enumerate(texts):
+        kept[i] = not any(kept[j] and dedup.indel_ratio(texts[j], t) >= 90.0 for j in range(max(0, i - (window or i)), i))
+    return kept
+
+
+def test_fuzzy_removal_of_templates_by_leaders(spark):
+    texts = _questions(260)
+    df = spark.createDataFrame(list(enumerate(texts)), "node int, text string")
+    want = _first_wins(texts)
+    kept, rest = dedup.fuzzy_leaders(df, 90.0, block=20)
+    assert all(want[n] for (n,) in rows(kept)) and kept.count() > 5
+    # most of these questions are near each other: leaders decide them without their pairs
+    assert dedup.fuzzy_pairs(rest).count() * 3 < dedup.fuzzy_pairs(df).count()
+    for block in (20, 4_096):
+        assert dict(rows(dedup.fuzzy_dedup(df, "node", "text", block=block))) == want
+
+
+def test_fuzzy_pairs_inside_a_window_only(spark):
+    texts = _questions(200)
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node int, position bigint, text string")
+    near = {(a, b) for a, b, _ in rows(dedup.fuzzy_pairs(df))}
+    for window in (1, 7, 30):
+        assert {(a, b) for a, b, _ in rows(dedup.fuzzy_pairs(df, window=window))} == {(a, b) for a, b in near if b - a <= window}
+    assert dict(rows(dedup.fuzzy_dedup(df, "node", "text", window=7))) == _first_wins(texts, 7)
+
+
 def test_window_of_fuzzy_removal(spark):
     data = [("a", "what was measured in the first sample of honey"), ("b", "which column held the proteins of yeast"), ("c", "why was the flow rate lowered after an hour"), ("d", "what was measured in the first samples of honey")]
     df = spark.createDataFrame(data, "id string, question string")
