@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from qaloom.functions.text import squeeze
 from qaloom.operators.graph import link_components
-from qaloom.operators.rows import positions
 from qaloom.plans.staging import settled, staged
 
 
@@ -266,11 +265,15 @@ def bitmap(text: str) -> list[int]:
     return [((bits >> (64 * i) & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for i in range(4)]
 
 
-def near_any(text: str, heads: list[str], maps: np.ndarray, sizes: np.ndarray, ratio: float) -> bool:
-    """Whether the indel ratio of `text` and one of `heads`, whose bitmaps and lengths are given, is `ratio` or more."""
+def packed(text: str) -> np.ndarray:
+    return np.array(bitmap(text), dtype=np.int64).view(np.uint64)
+
+
+def near_any(text: str, bits: np.ndarray, heads: list[str], maps: np.ndarray, sizes: np.ndarray, ratio: float) -> bool:
+    """Whether the indel ratio of `text`, of bitmap `bits`, and one of `heads`, whose bitmaps and lengths are given, is `ratio` or more."""
     total = sizes + len(text)
     fits = np.minimum(sizes, len(text)) * 2.0 >= ratio / 100.0 * total - 1e-9
-    apart = np.bitwise_count(maps ^ np.array(bitmap(text), dtype=np.int64).view(np.uint64)[:, None]).sum(axis=0, dtype=np.int64)
+    apart = np.bitwise_count(maps ^ bits[:, None]).sum(axis=0, dtype=np.int64)
     maybe = np.flatnonzero(fits & (apart <= (1 - ratio / 100.0) * total + 1e-9))
     return any(indel_ratio(heads[i], text) >= ratio - 1e-9 for i in maybe[np.argsort(apart[maybe], kind="stable")])
 
@@ -293,18 +296,18 @@ def fuzzy_leaders(heads: DataFrame, ratio: float, block: int = 4_096, least_shar
         last, leaders, nodes = first[-1]["node"], [], []
         maps, sizes = np.zeros((4, block), dtype=np.uint64), np.zeros(block, dtype=np.int64)
         for node, text in first:
-            n = len(leaders)
-            if not near_any(text, leaders, maps[:, :n], sizes[:n], ratio):
+            n, bits = len(leaders), packed(text)
+            if not near_any(text, bits, leaders, maps[:, :n], sizes[:n], ratio):
                 leaders.append(text)
                 nodes.append((node,))
-                maps[:, n], sizes[n] = np.array(bitmap(text), dtype=np.int64).view(np.uint64), len(text)
+                maps[:, n], sizes[n] = bits, len(text)
         kept.append(spark.createDataFrame(nodes, f"node {kind}"))
         shared = spark.sparkContext.broadcast((leaders, maps[:, : len(leaders)].copy(), sizes[: len(leaders)]))
 
         def alive(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             held = shared.value
             for pdf in batches:
-                yield pdf[[not near_any(text, *held, ratio) for text in pdf["text"]]]
+                yield pdf[[not near_any(text, packed(text), *held, ratio) for text in pdf["text"]]]
 
         rest = staged(rest.where(F.col("node") > F.lit(last)).mapInPandas(alive, f"node {kind}, text string"))
         before, left = left - len(first), rest.count()
@@ -316,10 +319,48 @@ def fuzzy_leaders(heads: DataFrame, ratio: float, block: int = 4_096, least_shar
     return none, rest
 
 
-def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3, window: int | None = None) -> DataFrame:
-    """Pairs `a` < `b` of distinct `texts` (`node`, `text`) whose indel ratio is `ratio` or more.
+def fuzzy_scan(heads: DataFrame, ratio: float, window: int) -> DataFrame:
+    """`node` and `kept` of `heads` (`node`, `text`): a text falls if a kept one of the `window` texts before it is near.
+
+    What falls depends on what was kept before, all along the order, so one task goes through it; it holds no more than the
+    kept texts of a window, and there is no row for a pair. Bitmaps are made before, in parallel.
+    """
+    kind = heads.schema["node"].dataType.simpleString()
 
-    With `window` the texts have a `position` in the order of nodes, and only pairs that are at most `window` apart are looked for.
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            maps = [bitmap(text) for text in pdf["text"]]
+            yield pdf[["node", "text"]].assign(**{c: [m[i] for m in maps] for i, c in enumerate(BITS)})
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = 2 * window + 2
+        maps, sizes, at = np.zeros((4, room), dtype=np.uint64), np.zeros(room, dtype=np.int64), np.zeros(room, dtype=np.int64)
+        texts: list[str] = []
+        start, here = 0, 0
+        for pdf in batches:
+            kept = []
+            for text, bits in zip(pdf["text"], np.ascontiguousarray(pdf[list(BITS)].to_numpy(dtype=np.int64)).view(np.uint64), strict=True):
+                end = len(texts)
+                while start < end and at[start] < here - window:
+                    start += 1
+                if end == room:  # those behind the window go
+                    n = end - start
+                    maps[:, :n], sizes[:n], at[:n] = maps[:, start:end].copy(), sizes[start:end].copy(), at[start:end].copy()
+                    texts, start, end = texts[start:], 0, n
+                new = not near_any(text, bits, texts[start:], maps[:, start:end], sizes[start:end], ratio)
+                if new:
+                    texts.append(text)
+                    maps[:, end], sizes[end], at[end] = bits, len(text), here
+                kept.append(new)
+                here += 1
+            yield pdf[["node"]].assign(kept=kept)
+
+    rows = heads.select("node", "text").mapInPandas(mapped, f"node {kind}, text string, " + ", ".join(f"{c} bigint" for c in BITS))
+    return rows.repartition(1).sortWithinPartitions("node").mapInPandas(scan, f"node {kind}, kept boolean")
+
+
+def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3) -> DataFrame:
+    """Pairs `a` < `b` of distinct `texts` (`node`, `text`) whose indel ratio is `ratio` or more.
 
     Texts that near share most of their `gram`-character pieces: with at most d = (1 - ratio) * (la + lb) edits at most
     gram * d pieces of either differ. Candidates share one of the gram * d + 1 rarest pieces of both, are of fitting length,
@@ -344,32 +385,24 @@ def fuzzy_pairs(texts: DataFrame, ratio: float = 90.0, gram: int = 3, window: in
                 out.append(sorted(grams))
                 keep.append(gram * edits + 1)
             columns = {f"b{i}": [m[i] for m in maps] for i in range(4)}
-            yield pdf[["node", "position"]].assign(n=pdf["text"].str.len(), h=out, keep=keep, **columns)
+            yield pdf[["node"]].assign(n=pdf["text"].str.len(), h=out, keep=keep, **columns)
 
     kind = texts.schema["node"].dataType.simpleString()
-    position = F.lit(0).cast("bigint") if window is None else F.col("position")
-    some = staged(texts.where("text <> ''").select("node", position.alias("position"), "text"))
-    cut = staged(some.mapInPandas(pieces, f"node {kind}, position bigint, n int, h array<bigint>, keep int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"))
+    some = staged(texts.where("text <> ''").select("node", "text"))
+    cut = staged(some.mapInPandas(pieces, f"node {kind}, n int, h array<bigint>, keep int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"))
     shared = cut.sparkSession.sparkContext.broadcast(piece_counts(cut))  # of fixed size
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         for pdf in batches:
             keys = [rare_first(np.asarray(h, dtype=np.int64), counts, k) for h, k in zip(pdf["h"], pdf["keep"], strict=True)]
-            yield pdf[["node", "position", "n", *BITS]].assign(k=keys).explode("k").astype({"k": "int64"})
-
-    keys = cut.mapInPandas(rarest, f"node {kind}, position bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, k bigint")
-    left, right = (keys.select("k", F.col("node").alias(x), F.col("position").alias(f"p{x}"), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS]) for x in ("a", "b"))
-    on = ["k"]
-    if window is not None:  # a text meets those of its own stretch of positions and of the one before
-        at = F.floor(F.col("pa") / F.lit(max(1, window)))
-        left, right = left.withColumn("at", F.explode(F.array(at, at + 1))), right.withColumn("at", F.floor(F.col("pb") / F.lit(max(1, window))))
-        on = ["k", "at"]
+            yield pdf[["node", "n", *BITS]].assign(k=keys).explode("k").astype({"k": "int64"})
+
+    keys = cut.mapInPandas(rarest, f"node {kind}, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, k bigint")
+    left, right = (keys.select("k", F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS]) for x in ("a", "b"))
     apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
     fits = (F.least("na", "nb") * 2.0 >= (ratio / 100.0) * (F.col("na") + F.col("nb")) - 1e-9) & (apart <= far * (F.col("na") + F.col("nb")) + 1e-9)
-    if window is not None:
-        fits = fits & (F.col("pb") - F.col("pa") <= window)
-    maybe = left.join(right, on).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    maybe = left.join(right, "k").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     ta, tb = some.select(F.col("node").alias("a"), F.col("text").alias("ta")), some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     near = maybe.join(ta, "a").join(tb, "b").where(F.levenshtein("ta", "tb") <= far * (F.length("ta") + F.length("tb")) + 1e-9)
 
@@ -388,14 +421,13 @@ def fuzzy_dedup(records: DataFrame, record: str = "id", question: str = "questio
     Equal questions, in lower case with single blanks, count once; only distinct ones are compared. Null questions stay.
     The first questions, `block` at a time, fell what is near them before the rest is compared in pairs.
     With `window` a question is compared with that many distinct questions before it only, as a scan with a bounded
-    memory does; positions are counted in ranges of the id, not in one task.
+    memory does (`fuzzy_scan`).
     """
     text = F.trim(squeeze(F.lower(F.col(question))))
     rows = staged(records.select(F.col(record).alias("node"), text.alias("text")))
     heads = staged(rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("node").alias("node")))
     if window is not None:
-        placed = staged(positions(heads.select("node", "text"), "node"))
-        kept = first_wins(heads.select("node"), fuzzy_pairs(placed, ratio, window=window).select("a", "b"))
+        kept = fuzzy_scan(heads, ratio, window)
     else:
         sure, rest = fuzzy_leaders(heads, ratio, block)
         kept = first_wins(rest.select("node"), fuzzy_pairs(rest, ratio).select("a", "b"))

@@ -86,13 +86,12 @@ def test_fuzzy_removal_of_templates_by_leaders(spark):
         assert dict(rows(dedup.fuzzy_dedup(df, "node", "text", block=block))) == want
 
 
-def test_fuzzy_pairs_inside_a_window_only(spark):
-    texts = _questions(200)
-    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node int, position bigint, text string")
-    near = {(a, b) for a, b, _ in rows(dedup.fuzzy_pairs(df))}
+def test_fuzzy_removal_inside_a_window_without_pairs(spark, monkeypatch):
+    texts = _questions(260)
+    df = spark.createDataFrame(list(enumerate(texts)), "node int, text string")
+    monkeypatch.setattr(dedup, "fuzzy_pairs", None)  # there are too many at size
     for window in (1, 7, 30):
-        assert {(a, b) for a, b, _ in rows(dedup.fuzzy_pairs(df, window=window))} == {(a, b) for a, b in near if b - a <= window}
-    assert dict(rows(dedup.fuzzy_dedup(df, "node", "text", window=7))) == _first_wins(texts, 7)
+        assert dict(rows(dedup.fuzzy_dedup(df, "node", "text", window=window))) == _first_wins(texts, window)
 
 
 def test_window_of_fuzzy_removal(spark):
