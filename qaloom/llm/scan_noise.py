@@ -164,14 +164,14 @@ def _observations(records: DataFrame) -> DataFrame:
         raw: Counter[str] = Counter()
         words_of = Words()
 
-        def words() -> pd.DataFrame:
+        def words() -> Iterator[pd.DataFrame]:
             counts: Counter[str] = Counter()
             for w, n in raw.items():
                 for x in words_of[w]:
                     counts[x] += n
             raw.clear()
-            out = pd.DataFrame({"kind": "word", "id": None, "a": list(counts), "b": None, "sign": None, "line": 0, "n": list(counts.values()), "breaks": False, "edge": False})
-            return out
+            if counts:  # without rows `a` would be a column of floats, which can't be sent as strings
+                yield pd.DataFrame({"kind": "word", "id": None, "a": list(counts), "b": None, "sign": None, "line": 0, "n": list(counts.values()), "breaks": False, "edge": False})
 
         for pdf in batches:
             rows = []
@@ -187,8 +187,8 @@ def _observations(records: DataFrame) -> DataFrame:
                 rows += [("hyphen", key, m[1].lower(), m[3].lower(), m[2], 0, 1, False, True) for m in divided_by_lines(lines, {*pages, *(i for i, *_ in running)})]
             yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "sign", "line", "n", "breaks", "edge"])
             if len(raw) > 400_000:
-                yield words()
-        yield words()
+                yield from words()
+        yield from words()
 
     return records.mapInPandas(run, schema)
 

@@ -383,6 +383,23 @@ def test_noise_end_to_end(spark):
     assert scan_noise.find_noise(rec.limit(0), blocks, titles).rows().count() == 0
 
 
+def test_partitions_without_words_have_no_noise(spark):
+    rows_in = [(f"r{i}", "The volume which we measured was small." if i % 3 else "The volume wbich we measured was small.", None) for i in range(60)] + [("x0", "12 34\n7", None), ("x1", "...", None)]
+    text = spark.createDataFrame(rows_in, "id string, text string, node string").cache()
+    blocks, titles = spark.createDataFrame([], "doc_id string, page int, y0 double, y1 double, text string"), spark.createDataFrame([], "node string, title string")
+    cfg = scan_noise.NoiseConfig(frequent=10, frequent_share=0.0, times=1.5)
+    want = set(rows(scan_noise.find_noise(text.coalesce(1), blocks, titles, cfg).rows()))
+    assert ("r0", "misread") in want and len(want) >= 20
+    # all rows in one of eight partitions; then two texts without words in a partition of their own
+    crowded = text.repartitionByRange(8, F.lit(1))
+    assert crowded.rdd.glom().map(len).collect().count(0) >= 1
+    apart = text.where("id LIKE 'r%'").coalesce(1).unionByName(text.where("id LIKE 'x%'").coalesce(1))
+    for cut in (crowded, apart):
+        assert set(rows(scan_noise.find_noise(cut, blocks, titles, cfg).rows())) == want
+    got = {r["id"]: r["repaired"] for r in scan_noise.repaired(apart, blocks, titles, cfg).collect()}
+    assert got["r0"] == "The volume which we measured was small." and "x1" not in got
+
+
 def test_confusions_undone():
     assert scan_noise.undone("wbich", "which", 1) and scan_noise.undone("cloublecl", "doubled", 2) and not scan_noise.undone("wbich", "witch", 1)
 
